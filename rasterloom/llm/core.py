@@ -9,6 +9,7 @@ so memory follows the longest single text and not the Arrow batch.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,15 +198,33 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or os.path.join("/tmp/checkpoints", spark.sparkContext.applicationId)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder in spark.checkpoint.dir; sets one only if the cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = os.path.join("/tmp/checkpoints", sc.applicationId)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a written table in the shared folder, so later stages survive the loss of executors.
+
+    Compressed columns take a fraction of the disk of a row checkpoint, and the written size lets small tables be joined
+    without an exchange.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), "rasterloom", uuid.uuid4().hex)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Removes the table of a checkpointed result that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def crc_mod(column: Column, n: int) -> Column:

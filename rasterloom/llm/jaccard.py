@@ -15,12 +15,12 @@ all, so the pigeonhole still holds for every pair.  A, D and X are chosen for ea
 band by cost: expected signatures, from the sizes of all documents, plus expected
 candidates from empty signatures.
 
-Buckets of a signature are never expanded into all pairs.  Rounds of stars settle
-them: the smallest member of each bucket against the smallest of every component in
-it, then against every member of another component, and components are contracted in
-between; only members that are in different components of the same bucket after that
-are compared with each other, a block of members at a time, and every candidate is
-verified on the whole sets.
+Buckets of a signature are never expanded into all pairs.  Every member has a
+head, the smallest member of all its buckets, and members of a head form canopies of
+bounded size.  The canopies of a bucket meet, each pair of canopies
+once, and bit sketches that can only underestimate a difference drop what cannot
+link.  What is left is verified on the whole sets: first the nearest partners of each
+member, then, links contracted, all pairs left in buckets of several components.
 """
 
 from __future__ import annotations
@@ -241,28 +241,136 @@ def _buckets(found: DataFrame) -> DataFrame:
     return found.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(stream, "sig long, node long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+#: Bits of the filter that keeps documents without a shared signature out of an exchange: 4 MB at any size of input.
+#: When most bits are set it lets most documents pass, and the exact join behind it does the work.
+FILTER_BITS = 1 << 25
+
+
+def sketches(doc: np.ndarray, value: np.ndarray, wanted: np.ndarray) -> list[bytes]:
+    """A bit for each of 2 to 4 bins per element: the parity of the elements hashed there.
+
+    Two sketches differ in at most as many bits as the sets differ in elements, also after halves are folded together.
+    """
+    out = []
+    low, high = np.searchsorted(doc, wanted), np.searchsorted(doc, wanted, "right")
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        bins = max(64, 1 << (2 * (b - a) - 1).bit_length())
+        bits = np.bincount((value[a:b] & core.U64(bins - 1)).astype(np.int64), minlength=bins) & 1
+        out.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def _folded(sketch: np.ndarray, n: int) -> np.ndarray:
+    while sketch.shape[1] > n:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _near_pairs(one: list, two: list | None, num: int, den: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components whose sketches allow a link; nearest: only the nearest of each member.
+
+    one, two: node, component, size, sketch of two blocks (two None: of one block with itself).
+    """
+    found_a, found_b, found_d = [], [], []
+    same = two is None
+    two = one if same else two
+
+    def by_bins(block: list) -> dict[int, tuple[np.ndarray, ...]]:
+        node, component, size, sketch = block
+        of: dict[int, list[int]] = {}
+        for i, s in enumerate(sketch):
+            of.setdefault(len(s), []).append(i)
+        return {n: (np.array(node)[i], np.array(component)[i], np.array(size)[i], np.frombuffer(b"".join(sketch[j] for j in i), dtype=core.U64).reshape(len(i), n // 8)) for n, i in of.items()}
+
+    left, right = by_bins(one), by_bins(two)
+    for n1, (na, ca, sa, ka) in left.items():
+        for n2, (nb, cb, sb, kb) in right.items():
+            if (n1 > n2 and same) or max(n1, n2) > 2 * min(n1, n2):
+                continue
+            bins = min(n1, n2) // 8
+            x, y = _folded(ka, bins), _folded(kb, bins)
+            for i in range(len(na)):
+                total = sa[i] + sb
+                most = total - 2 * -(-num * total // (num + den))
+                ok = (ca[i] != cb) & (den * np.minimum(sa[i], sb) >= num * np.maximum(sa[i], sb))
+                if same and n1 == n2:
+                    ok[: i + 1] = False
+                some = np.flatnonzero(ok)
+                d = np.bitwise_count(x[i] ^ y[some]).sum(axis=1, dtype=np.int64)
+                fits = d <= most[some]
+                found_a.append(np.full(int(fits.sum()), na[i]))
+                found_b.append(nb[some][fits])
+                found_d.append(d[fits])
+    if not found_a:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, b, d = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d)
+    if nearest and len(a):
+        keep = np.zeros(len(a), dtype=bool)
+        for end in (a, b):
+            by = np.lexsort((d, end))
+            keep[by[np.concatenate(([True], end[by][1:] != end[by][:-1]))]] = True
+        a, b = a[keep], b[keep]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    placed = nodes.select((F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))).alias("place"))
+    words = placed.groupBy(F.expr("shiftright(place, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 31L as int)))").alias("bits"))
+    out = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
+    found = words.toPandas()
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def _chosen(rows: DataFrame, nodes: DataFrame, n: int, sketched: bool) -> DataFrame:
+    """node, size, sketch (sketched) or node, body of one text of each of the given sets."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(nodes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            texts = core.byte_list(batch.column(0))
+            for a, b in core.chunks(texts):
+                doc, value = shingle_sets(texts[a:b], n)
+                size, node = fingerprints(doc, value, b - a)
+                place = (node & core.U64(FILTER_BITS - 1)).astype(np.int64)
+                some = np.flatnonzero((bits[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1))
+                if len(some) and sketched:
+                    yield pa.RecordBatch.from_arrays([core.as_long(node[some]), pa.array(size[some]), pa.array(sketches(doc, value, some), type=pa.binary())], ["node", "size", "sketch"])
+                elif len(some):
+                    yield pa.RecordBatch.from_arrays([core.as_long(node[some]), pa.array([texts[a + i] for i in some.tolist()], type=pa.binary())], ["node", "body"])
+
+    columns = {"size": "long", "sketch": "binary"} if sketched else {"body": "binary"}
+    found = rows.select("body").mapInArrow(scan, ", ".join(["node long", *(f"{k} {v}" for k, v in columns.items())])).join(nodes, "node", "left_semi")
+    return core.checkpointed(found.groupBy("node").agg(*(F.max(c).alias(c) for c in columns)))
+
+
+def _linked(pairs: DataFrame, bodies: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose whole sets link."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_a, first = None, np.zeros(0, dtype=core.U64)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a = batch.column(0).to_pylist()
             ok = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                if a[i] != last_a:
-                    last_a, first = a[i], np.frombuffer(batch.column(2)[i].as_py(), dtype=core.U64)
-                second = np.frombuffer(batch.column(3)[i].as_py(), dtype=core.U64)
-                small, large = min(len(first), len(second)), max(len(first), len(second))
-                if den * small < num * large:
-                    continue
-                both = np.concatenate((first, second))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[i] = den * shared >= num * (len(both) - shared)
+            other = core.byte_list(batch.column(3))
+            for x, y in core.chunks(other):
+                doc, value = shingle_sets(other[x:y], n)
+                edge = np.searchsorted(doc, np.arange(y - x + 1))
+                for i in range(x, y):
+                    if a[i] != last_a:
+                        last_a, first = a[i], shingle_sets([batch.column(2)[i].as_py()], n)[1]
+                    second = value[edge[i - x] : edge[i - x + 1]]
+                    if den * min(len(first), len(second)) < num * max(len(first), len(second)):
+                        continue
+                    both = np.concatenate((first, second))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    ok[i] = den * shared >= num * (len(both) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+    joined = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("tb")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
@@ -281,41 +389,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = core.checkpointed(_buckets(_signatures(rows, plan, n)))
     classes = sets.filter("size > 0").groupBy("node").agg(F.min("did").alias("did"))
 
-    # sets of the classes that share a signature with another
-    wanted = buckets.select("node").distinct().join(classes, "node").select("did").distinct()
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = core.byte_list(batch.column(0))
-            for a, b in core.chunks(texts):
-                doc, value = shingle_sets(texts[a:b], n)
-                size, node = fingerprints(doc, value, b - a)
-                edge = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([core.as_long(node), pa.array([value[e - s : e].tobytes() for s, e in zip(size.tolist(), edge.tolist(), strict=True)], type=pa.binary())], ["node", "tokens"])
-
-    tokened = core.checkpointed(rows.join(wanted, "did", "left_semi").select("body").mapInArrow(tokens, "node long, tokens binary"))
-    # equal texts under one doc_id come once
-    tokened = tokened.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    links = None
-    done = None
-    component = None
-    for step in ("star", "heads", "across"):
-        if component is None:
-            named = buckets.withColumn("component", F.col("node"))
-        else:
-            named = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        pairs = _candidates(named, step)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = core.checkpointed(pairs)
+    # the classes that share a signature with another: sketches first, texts only of what the sketches leave
+    shared = core.checkpointed(buckets.select("node").distinct())
+    held = _chosen(rows, shared, n, sketched=True)
+    canopies = _canopies(buckets)
+    links = done = component = None
+    for nearest in (True, False):
+        pairs = _across(buckets, canopies, component, held, num, den, nearest)
+        pairs = core.checkpointed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if step == "star":
-                break
-            continue
-        fresh = core.checkpointed(_linked(pairs, tokened, num, den))
+            break
+        ends = core.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        fresh = core.checkpointed(_linked(pairs, _chosen(rows, ends, n, sketched=False), n, num, den))
         links = fresh if links is None else links.unionByName(fresh)
-        done = pairs if done is None else done.unionByName(pairs)
-        component = core.checkpointed(connected_components(links))
+        done = pairs
+        component = connected_components(links)
     # the same document in several classes (rows that share a doc_id) ties them together
     named = classes.withColumn("component", F.col("node")) if component is None else classes.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     smallest = named.groupBy("component").agg(F.min("did").alias("root"))
@@ -324,22 +412,59 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.when(F.col("did") != repeats.NO_ID, F.col("did")).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(F.coalesce("root", F.col("did")), F.lit(repeats.NO_ID)).alias("component_id"))
 
 
-def _candidates(named: DataFrame, step: str) -> DataFrame:
-    """Distinct pairs a < b of a round; named: sig, node, component."""
-    if step == "star":  # the smallest member of a bucket with all others
-        heads = named.groupBy("sig").agg(F.min("node").alias("head"))
-        return named.join(heads, "sig").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    mixed = named.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("sig", "c0")
-    rest = core.checkpointed(named.join(mixed, "sig"))
-    if step == "heads":  # the smallest member of every component with all members of the first component, and the other way round
-        first = rest.groupBy("sig", "component").agg(F.min("node").alias("head"))
-        one = rest.filter("component = c0").select("sig", "node").join(first.join(mixed, "sig").filter("component <> c0").select("sig", "head"), "sig")
-        lead = first.join(mixed, "sig").filter("component = c0").select("sig", "head")
-        two = rest.filter("component <> c0").select("sig", "node").join(lead, "sig")
-        both = one.unionByName(two)
-        return both.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-    other = rest.select("sig", F.col("node").alias("node2"), F.col("component").alias("component2"))
-    return rest.join(other, "sig").filter("node < node2 and component <> component2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+#: Members of a block that is compared with another in one go.
+CANOPY = 256
+
+
+def _canopies(buckets: DataFrame) -> DataFrame:
+    """node, canopy: the members that buckets connect, in blocks of about CANOPY at most."""
+    heads = buckets.groupBy("sig").agg(F.min("node").alias("a"))
+    tied = connected_components(buckets.join(heads, "sig").filter("node <> a").select("a", F.col("node").alias("b")))
+    parts = tied.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("parts"))
+    return core.checkpointed(tied.join(parts, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("canopy")))
+
+
+def _across(buckets: DataFrame, canopies: DataFrame, component: DataFrame | None, held: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Distinct pairs a < b of different components that share a bucket's canopies and whose sketches allow a link.
+
+    Two members of a bucket are compared once, where their canopies meet, whatever the number of buckets they share; a
+    member goes only where its canopy shares a bucket of its own with the other.
+    """
+    named = buckets.join(canopies, "node")
+    named = named.withColumn("component", F.col("node")) if component is None else named.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    mixed = named.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("sig")
+    rest = core.checkpointed(named.join(mixed, "sig").select("sig", "node", "component", "canopy"))
+    other = rest.select("sig", F.col("canopy").alias("other")).distinct()
+    c1, c2 = F.least("canopy", "other").alias("c1"), F.greatest("canopy", "other").alias("c2")
+    met = rest.join(other, "sig").select(c1, c2, (F.col("canopy") > F.col("other")).cast("int").alias("side"), "node", "component").distinct()
+    dealt = met.join(held.select("node", "size", "sketch"), "node").select("c1", "c2", "side", "node", "component", "size", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, [[[], [], [], []], [[], [], [], []]]
+        out: list = [[], []]
+
+        def close() -> None:
+            if key is not None:
+                a, b = _near_pairs(sides[0], None if key[0] == key[1] else sides[1], num, den, nearest)
+                out[0].append(a)
+                out[1].append(b)
+
+        for batch in batches:
+            for c1, c2, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (c1, c2) != key:
+                    close()
+                    key, sides = (c1, c2), [[[], [], [], []], [[], [], [], []]]
+                for column, value in zip(sides[side], row, strict=True):
+                    column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
+                out = [[], []]
+        close()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
+
+    dealt = dealt.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "side")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def brute_force(texts: dict[int, str | None], n: int = 4, num: int = 85, den: int = 100) -> dict[int, tuple[int, int]]:
