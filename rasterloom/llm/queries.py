@@ -26,6 +26,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    core.tune(spark)
+    out = toxicity_scores(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -40,6 +48,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(core.table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import importance_resample
+
+    core.tune(spark)
+    out = importance_resample(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_grams", "log_weight", "key", "kept")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -55,12 +71,30 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("did").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import embedding_near_dedup
+
+    core.tune(spark)
+    return embedding_near_dedup(core.table(spark, sf_dir, "embeddings"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    out = secret_scan(core.table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start", "n_chars", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_quality": op5_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontamination": op7_decontamination,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
