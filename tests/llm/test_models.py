@@ -1,0 +1,238 @@
+"""Operators with a model or an index: held-out accuracy, recall and brute force."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from rasterloom.llm import core, multi_index, quality, secrets, toxicity
+
+SCHEMA = "doc_id long, text string"
+BAD = ["idiotling", "scumbagger", "trashheap"]
+
+
+@pytest.fixture(scope="module")
+def toxic_docs():
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["the", "on", "ra", "ing", "ha", "le", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    rows, labels = [], []
+    for i in range(600):
+        w = [rng.choice(words) for _ in range(rng.randint(10, 90))]
+        bad = i % 6 == 0
+        if bad:
+            for _ in range(rng.randint(1, 3)):
+                w.insert(rng.randrange(len(w)), rng.choice(BAD))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 10 != 0), int(bad)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark, toxic_docs):
+    rows, labels = toxic_docs
+    docs = spark.createDataFrame([*rows, (9000, None), (None, ""), (9001, "ok")], SCHEMA).repartition(4)
+    lab = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_scores(docs, lab).collect()
+    assert len(got) == len(rows) + 3
+    truth = {i: t for i, _, t in labels}
+    for r in got:
+        assert 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 4 == 2)
+    held = [(truth[r.doc_id], r.score >= 0.3) for r in got if r.doc_id in truth and r.held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.97
+    trained = {i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert all(set(r.evidence_ids) <= trained for r in got)
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(2)
+    w = (rng.random((40, 700)) < 0.06) * rng.random((40, 700))
+    norm = np.linalg.norm(w, axis=0)
+    w = (w[:, norm > 0] / norm[norm > 0]).astype(np.float32)
+    labels = rng.integers(0, 2, w.shape[1])
+    index = toxicity.BlockMaxIndex(w, labels, np.arange(w.shape[1]), (1.0, 1.0))
+    for _ in range(50):
+        terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+        q = rng.random(len(terms))
+        q /= np.linalg.norm(q)
+        found, cosine = index.nearest(terms, q, 15)
+        every = q @ index.postings[terms]
+        best = np.sort(every[every > 0])[::-1][:15]
+        assert np.allclose(np.sort(cosine)[::-1], best, atol=1e-6)
+    assert index.opened < 50 * -(-w.shape[1] // toxicity.BLOCK)
+
+
+def test_toxicity_without_labels(spark, toxic_docs):
+    docs = spark.createDataFrame(toxic_docs[0][:20], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity_scores(docs, none).collect()} == {0.0}
+    assert toxicity.toxicity_scores(docs.limit(0), none).count() == 0
+
+
+def _junk(rng, words):
+    kind = rng.randrange(3)
+    n = rng.randint(20, 80)
+    if kind == 0:
+        return " ".join(rng.choice(words).upper() + "!!" for _ in range(n))
+    if kind == 1:
+        return " ".join(rng.choice(words) + rng.choice(["###", "%%%", "&&&"]) for _ in range(n))
+    return " ".join(" ".join([rng.choice(words)] * 12) for _ in range(n // 8))
+
+
+@pytest.fixture(scope="module")
+def mixed_quality():
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["the", "on", "ra", "ing", "ha"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rows = []
+    for i in range(500):
+        if i % 7 == 3:
+            rows.append((i, _junk(rng, words), 0))
+        else:
+            rows.append((i, ". ".join(" ".join(rng.choice(words) for _ in range(rng.randint(3, 12))).capitalize() for _ in range(rng.randint(1, 9))) + ".", 1))
+    return rows
+
+
+def test_quality_keeps_the_clean(spark, mixed_quality):
+    docs = spark.createDataFrame([(i, t, "clash") for i, t, _ in mixed_quality] + [(700, None, ""), (None, "", "")], "doc_id long, text string, key string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in mixed_quality if i % 2], "doc_id long, quality int")
+    out = quality.importance_resample(docs, labels)
+    assert out.columns == ["doc_id", "text", "log_weight", "n_grams", "key", "kept"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(mixed_quality) + 2 and got[700].log_weight == 0
+    good = [got[i].kept for i, _, q in mixed_quality if q]
+    bad = [got[i].kept for i, _, q in mixed_quality if not q]
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.03
+    expected = quality.brute_force({i: t for i, t, _ in mixed_quality} | {700: None, -1: ""}, {i for i, _, q in mixed_quality if i % 2 and q})
+    assert all(abs(got[i].log_weight - w) < 1e-6 for i, w in expected.items() if i in got)
+
+
+def test_quality_sample_size(spark, mixed_quality):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in mixed_quality], SCHEMA)
+    labels = spark.createDataFrame([(i, q) for i, _, q in mixed_quality], "doc_id long, quality int")
+    out = quality.importance_resample(docs, labels, k=37, temperature=1.0).collect()
+    kept = sorted((r.key for r in out if r.kept), reverse=True)
+    assert len(kept) == 37 and kept == sorted((r.key for r in out), reverse=True)[:37]
+    assert [r.kept for r in quality.importance_resample(docs, labels, k=0).collect()].count(True) == 0
+    assert quality.importance_resample(docs.limit(0), labels).count() == 0
+    assert {r.log_weight for r in quality.importance_resample(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_kth_largest(spark):
+    rng = random.Random(3)
+    values = [rng.choice([rng.gauss(0, 1), 5.0, -1e6]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 700, 1500, 2999, 3000, 9999):
+        assert quality.kth_largest(df, "v", k, few=50) == ordered[min(k, 3000) - 1]
+
+
+def _vectors(n=260, d=24, seed=4):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n // 4, d))
+    rows = []
+    for i in range(n):
+        b = base[rng.integers(0, len(base))] + 0.16 * rng.standard_normal(d)
+        rows.append((i, [float(np.float32(x)) for x in b], int(rng.integers(0, 3))))
+    for i in range(n, n + 30):
+        rows.append((i, rows[3][1], rows[3][2]))
+    return rows
+
+
+def test_embedding_links_and_recall(spark):
+    rows = _vectors()
+    odd = [(1000, None, 1), (1001, [0.0] * 24, 1), (1002, [1.0, None] + [0.0] * 22, 1), (1003, [float("nan")] * 24, 1), (1004, [float("inf")] * 24, 1), (1005, rows[3][1], None), (1006, [], 1), (1007, [1.0, 2.0], 1), (1008, [2.0, 4.0], 1), (1009, [1e200] * 24, 2), (1010, [1e-200] * 24, 2)]
+    df = spark.createDataFrame([(*r, "x") for r in rows + odd], "vec_id long, embedding array<double>, label int, node string").repartition(4)
+    got = {r.vec_id: r for r in multi_index.embedding_near_dedup(df).collect()}
+    both = rows + odd
+    links, pairs = multi_index.brute_force([r[0] for r in both], [r[2] for r in both], [r[1] for r in both])
+    assert len(got) == len(both)
+    assert all(got[i].n_links <= links[i] for i in links)
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(links.values())
+    assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006))
+    assert got[1007].n_links == got[1008].n_links == 1 and got[1008].component_id == 1007 and not got[1008].kept
+    assert got[1009].n_links == 1
+    # components are those of the links found
+    root = {i: i for i in got}
+    for a, b in pairs:
+        if got[a].component_id == got[b].component_id:
+            root[max(a, b)] = min(root[max(a, b)], root[min(a, b)])
+    assert all(r.component_id <= i and got[r.component_id].component_id == r.component_id for i, r in got.items())
+
+
+def test_multi_sequence_order_is_exact():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((30, 10))
+    books = rng.standard_normal((9, 5)), rng.standard_normal((9, 5))
+    every = (((x[:, None, :5] - books[0][None]) ** 2).sum(2)[:, :, None] + ((x[:, None, 5:] - books[1][None]) ** 2).sum(2)[:, None, :]).reshape(30, -1)
+    for t in (1, 5, 30, 81):
+        cells = multi_index._ordered_cells(x, books, t)
+        assert np.allclose(np.take_along_axis(every, cells, 1), np.sort(every, axis=1)[:, :t])
+
+
+def test_embedding_edges(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert multi_index.embedding_near_dedup(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [-0.0, 1.0], 1)], schema)
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in multi_index.embedding_near_dedup(df).collect())
+    assert got == [(0, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True)]
+
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+SECRETS = {
+    1: f'thaner a.\nThstorti token = "{HEX}" thhantou with.',
+    2: "no secrets in this text, internationalizationandlocalization included",
+    3: f"commit {HEX} fixed it",
+    4: None,
+    5: "",
+    6: f'api_key: "Zk81hQwPq7LmN2xVb93RtYc4" and token = "{HEX[::-1]}"',
+    7: 'password = "hunter2Xq9!zz" and see /usr/share/lib/page1/index.html for more',
+    8: f' marks token = "{HEX}" kept',
+}
+
+
+def test_secret_scan_and_masks(spark):
+    docs = spark.createDataFrame([(i, t, "v") for i, t in SECRETS.items()] + [(1, SECRETS[1], "v"), (None, SECRETS[1], "v")], "doc_id long, text string, value string")
+    found = secrets.secret_scan(docs)
+    got = {}
+    for r in found.collect():
+        if r.id is not None:
+            assert SECRETS[r.id][r.start : r.start + r.n_chars] == r.value or r.id == 8
+            got.setdefault(r.id, []).append((r.value, r.secret))
+    assert got[1] == [(HEX, True)] and got[3] == [(HEX, False)]
+    assert len(got[6]) == 2 and all(s for _, s in got[6])
+    assert 2 not in got and 4 not in got and 5 not in got
+    masked = secrets.mask_secrets(docs, found)
+    assert masked.columns == docs.columns and masked.count() == len(SECRETS) + 2
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    assert texts[1] == SECRETS[1].replace(HEX, "[SECRET]") == texts[None]
+    assert texts[2] == SECRETS[2] and texts[3] == SECRETS[3] and texts[4] is None and texts[5] == ""
+    assert texts[8] == SECRETS[8].replace(HEX, "[SECRET]")
+    assert secrets.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_secret_candidates_match_a_plain_search(spark, corpus):
+    rng = random.Random(8)
+    texts = {i: f"{t or ''} {''.join(rng.choice('abcXYZ019+/_-') for _ in range(rng.randint(10, 50)))}== \"q\" x = 'abcd{i}efgh'" for i, t in corpus.items()}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    pattern = re.compile(r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}|(?:(?<=[=:]["'])|(?<=[=:] ["'])|(?<=[=:]  ["']))[^\s"']{8,}""")
+    expected = {(i, m.start(), m.group()) for i, t in texts.items() for m in pattern.finditer(t)}
+    assert {(r.id, r.start, r.value) for r in secrets.candidates(docs).collect()} == expected
+
+
+def test_forest_on_unseen_findings(spark):
+    every = secrets.labelled_findings(spark, 6000)
+    model = secrets.train_forest(every.filter("id < 4000"))
+    out = model.transform(secrets._vectors(every.filter("id >= 4000"))).select("label", "f_prediction").collect()
+    assert sum(r.label == int(r.f_prediction) for r in out) / len(out) > 0.98
+
+
+def test_secret_plan_has_no_python(spark):
+    docs = spark.createDataFrame([(1, SECRETS[1])], SCHEMA).repartition(2)
+    found = secrets.secret_scan(docs)
+    for df in (found, secrets.mask_secrets(docs, found)):
+        assert not re.search("Python|Pandas|ArrowEval", df._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD", ""))
+
+
+def test_crc_matches_the_contract(spark):
+    got = spark.createDataFrame([(i,) for i in (-5, 0, 7, 123456)], "doc_id long").select("doc_id", toxicity.held_out(core.F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
