@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def long_form(df: DataFrame) -> DataFrame:
     """id, d, v."""
-    return df.select("id", F.posexplode("x").alias("d", "v"))
+    return df.select("id", F.posexplode_outer("x").alias("d", "v")).filter("d is not null")
 
 
 def dimension_stats(df: DataFrame) -> DataFrame:

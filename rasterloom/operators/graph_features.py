@@ -100,7 +100,7 @@ def assortativity(edges: DataFrame, weight: str) -> DataFrame:
     e = both_ways(edges.select("graph_id", "src", "dst", F.col(weight).cast("double").alias("w")))
     s = e.groupBy("graph_id", F.col("u").alias("node")).agg(F.sum("w").alias("s"))
     j = e.join(s.select("graph_id", F.col("node").alias("u"), F.col("s").alias("su")), ["graph_id", "u"]).join(s.select("graph_id", F.col("node").alias("v"), F.col("s").alias("sv")), ["graph_id", "v"])
-    return j.groupBy("graph_id").agg(F.when(F.var_pop("su") > 1e-9, F.corr("su", "sv")).alias("assortativity"))
+    return j.groupBy("graph_id").agg(F.when(F.var_pop("su") > 1e-9, F.try_divide(F.covar_pop("su", "sv"), F.stddev_pop("su") * F.stddev_pop("sv"))).alias("assortativity"))
 
 
 def modularity(edges: DataFrame, partition: DataFrame, weight: str) -> DataFrame:
@@ -312,7 +312,7 @@ def array_moments(x: np.ndarray | None) -> list[float | None]:
 def per_graph(nodes: DataFrame, edges: DataFrame, fn: Callable[[Graph], dict[str, float | None]], columns: list[str], weight: str = "length") -> DataFrame:
     """graph_id and the named doubles that fn gives for each graph; the nodes and edges of a graph are one row."""
     n = nodes.groupBy("graph_id").agg(F.collect_list(F.col("node").cast("long")).alias("nodes"))
-    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct(F.col("src").cast("long"), F.col("dst").cast("long"), F.col(weight).cast("double").alias("w"))).alias("edges"))
+    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(weight).cast("double").alias("w"))).alias("edges"))
     g = n.join(e, "graph_id", "left").select(F.col("graph_id").cast("long"), "nodes", "edges")
 
     def run(batches):

@@ -40,7 +40,7 @@ def find_junctions(df: DataFrame, nearer_than: float = 5.0) -> DataFrame:
 
 def listed(points: DataFrame) -> DataFrame:
     """image_id, ord, r, c."""
-    return points.select("image_id", F.posexplode("points").alias("ord", "p")).select("image_id", "ord", "p.r", "p.c")
+    return points.select("image_id", F.posexplode_outer("points").alias("ord", "p")).filter("ord is not null").select("image_id", "ord", "p.r", "p.c")
 
 
 def nearest_node(pixels: DataFrame, nodes: DataFrame, nearer_than: float) -> DataFrame:

@@ -164,7 +164,7 @@ def neighbours(df: DataFrame) -> DataFrame:
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     around = lambda i: F.array(*[F.when(at(i, a, b) > 0, F.struct(F.lit(k).alias("ord"), (row_of(i) + a).alias("nr"), ((i % F.col("w")).cast("int") + b).alias("nc"))) for k, (a, b) in enumerate(steps)])
     per = F.transform("px", lambda v, i: F.when(v > 0, F.filter(around(i), lambda x: x.isNotNull())))
-    flat = df.select("image_id", "w", F.posexplode(per).alias("i", "n")).select("image_id", row_of(F.col("i")).alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), F.explode("n").alias("n"))
+    flat = df.select("image_id", "w", F.posexplode_outer(per).alias("i", "n")).filter("n is not null").select("image_id", row_of(F.col("i")).alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), F.explode_outer("n").alias("n")).filter("n is not null")
     return flat.select("image_id", "r", "c", "n.ord", "n.nr", "n.nc")
 
 

@@ -296,6 +296,7 @@ def _(spark: S, sf: str) -> DataFrame:
 @query(
     "q_orientation",
     f"""WITH {fx.BIN} SELECT image_id, degrees(0.5 * atan2(2 * (round(covar_pop(r, c), 9) + 0.0), round(var_pop(r) - var_pop(c), 9) + 0.0)) AS angle{{r}} FROM b WHERE v = 1 GROUP BY image_id""",
+    digits=4,
 )
 def _(spark: S, sf: str) -> DataFrame:
     return regions.orientation(fx.binary(spark, sf))
@@ -339,8 +340,8 @@ def _(spark: S, sf: str) -> DataFrame:
 @query(
     "q_junction_bbox_crop",
     f"""WITH {JUNCTIONS}, box AS (SELECT image_id, min(c) - 1 AS l, min(r) - 1 AS t, max(c) FILTER (WHERE c < 6) + 1 AS rr, max(r) FILTER (WHERE r < 7) + 1 AS bb FROM jn GROUP BY image_id),
-k AS (SELECT image_id, greatest(0, l) AS x1, least(8, rr) AS x2, greatest(0, t) AS y1, least(8, bb) AS y2 FROM box WHERE rr IS NOT NULL AND bb IS NOT NULL)
-SELECT b.image_id, b.r - k.y1 AS r, b.c - k.x1 AS c, b.v FROM b JOIN k ON k.image_id = b.image_id AND b.r >= k.y1 AND b.r < k.y2 AND b.c >= k.x1 AND b.c < k.x2""",
+cb AS (SELECT image_id, greatest(0, l) AS x1, least(8, rr) AS x2, greatest(0, t) AS y1, least(8, bb) AS y2 FROM box WHERE rr IS NOT NULL AND bb IS NOT NULL)
+SELECT b.image_id, b.r - cb.y1 AS r, b.c - cb.x1 AS c, b.v FROM b JOIN cb ON cb.image_id = b.image_id AND b.r >= cb.y1 AND b.r < cb.y2 AND b.c >= cb.x1 AND b.c < cb.x2""",
 )
 def _(spark: S, sf: str) -> DataFrame:
     b = fx.binary(spark, sf)
@@ -477,5 +478,4 @@ def _(spark: S, sf: str) -> DataFrame:
 @query("q_pipeline_skeleton")
 def _(spark: S, sf: str) -> DataFrame:
     """The whole preprocessing chain from gray rasters to skeleton pixels."""
-    big = stencil.resize_nearest(fx.gray(spark, sf), 24, 24)
-    return fx.pixels(pipelines.skeletons(big, pad=2, hole=10, block=7, c=2.0, search=3)).filter("v > 0")
+    return fx.pixels(pipelines.skeletons(fx.gray(spark, sf), pad=1, hole=3, block=3, c=2.0, search=3)).filter("v > 0")

@@ -36,8 +36,11 @@ def blobs(spark: SparkSession, sf_dir: str, cut: float = 0.05, by: int = 4) -> D
 
 
 def pixels(df: DataFrame, *carry: str) -> DataFrame:
-    """image_id, r, c, v of rasters: a narrow generate, no exchange."""
-    e = df.select("image_id", "h", "w", *carry, F.posexplode("px").alias("i", "v"))
+    """image_id, r, c, v of rasters: a narrow generate, no exchange.
+
+    The outer form keeps the optimizer from filtering on the size of px first, which would repeat the work of px there.
+    """
+    e = df.select("image_id", "h", "w", *carry, F.posexplode_outer("px").alias("i", "v")).filter("i is not null")
     return e.select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), "v", *carry)
 
 
