@@ -245,7 +245,9 @@ class Model:
         if not len(self.terms):
             return score, ids, cosines
         doc, term, weight = self.vectors(texts)
-        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
+        if not len(doc):
+            return score, ids, cosines
+        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(doc)).tolist(), strict=True):
             found, cosine = self.index.nearest(term[a:b], weight[a:b], NEIGHBOURS)
             if len(found):
