@@ -227,7 +227,9 @@ def brute_force(ids: list, labels: list, vectors: list, threshold: float = 0.93)
     units = []
     for x in vectors:
         v = None if x is None or any(y is None for y in x) else np.asarray(x, dtype=np.float64)
-        units.append(None if v is None or not np.isfinite(v).all() or not v.any() else v / np.linalg.norm(v))
+        fine = v is not None and np.isfinite(v).all() and v.any()
+        v = v / np.abs(v).max() if fine else None
+        units.append(v / np.linalg.norm(v) if fine else None)
     pairs = set()
     for i in range(len(ids)):
         for j in range(i + 1, len(ids)):
