@@ -135,7 +135,8 @@ def crop(df: DataFrame, box: DataFrame) -> DataFrame:
     b = df.join(box, "image_id", "left").withColumn("nh", F.greatest(F.lit(0), F.col("y2") - F.col("y1"))).withColumn("nw", F.greatest(F.lit(0), F.col("x2") - F.col("x1")))
     rows = F.flatten(F.transform(F.sequence(F.col("y1"), F.col("y2") - 1), lambda y: F.slice("px", y * F.col("w") + F.col("x1") + 1, F.col("nw"))))
     px = F.when((F.col("nh") > 0) & (F.col("nw") > 0), rows)
-    return b.select("image_id", F.col("nh").alias("h"), F.col("nw").alias("w"), px.alias("px"))
+    # named apart first: inside a lambda, w would be the new w of the same select
+    return b.withColumn("cut", px).select("image_id", F.col("nh").alias("h"), F.col("nw").alias("w"), F.col("cut").alias("px"))
 
 
 def upper_border(points: DataFrame, from_col: int, to_col: int, jump: int) -> DataFrame:

@@ -43,7 +43,7 @@ def crop_full(skeleton: DataFrame, paths: DataFrame, pads: tuple[int, int, int,
     j = skeleton.join(paths, "image_id")
     cut = pixel_width = F.greatest(F.lit(0), F.col("w") - regions.crop_columns(F.col("path"), F.col("w")))
     rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice("px", (y * F.col("w") + 1).cast("int"), F.col("nw"))))
-    df = j.withColumn("nw", cut.cast("int")).select("image_id", "h", F.col("nw").alias("w"), F.when(pixel_width > 0, rows).alias("px"))
+    df = j.withColumn("nw", cut.cast("int")).withColumn("cut", F.when(pixel_width > 0, rows)).select("image_id", "h", F.col("nw").alias("w"), F.col("cut").alias("px"))
     box = regions.junction_box(points.find_junctions(df, nearer_than), pads, col_guard, row_guard)
     return regions.crop(df, box)
 
