@@ -214,31 +214,35 @@ def _signatures(rows: DataFrame, plan: Plan, n: int) -> DataFrame:
 
 
 def _buckets(found: DataFrame) -> DataFrame:
-    """(sig, node) of signatures that two sets or more have; streams over sorted rows."""
+    """sig, node, head (the smallest node of the signature) of signatures that two sets or more have; streams over sorted rows."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, bool] | None = None  # the last row, and whether it has been given
+        last: tuple[int, int, int, bool] | None = None  # the last row, its head, and whether it has been given
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held is not None:
-                sig, node = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], node))
+            if last is not None:
+                sig, node = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], node))
             keep = np.ones(len(sig), dtype=bool)
             keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            given = held is not None and held[2]
             sig, node = sig[keep], node[keep]
             like = sig[1:] == sig[:-1]
             out = np.zeros(len(sig), dtype=bool)
             out[1:] |= like
             out[:-1] |= like
-            held = int(sig[-1]), int(node[-1]), bool(out[-1]) or (given and len(sig) == 1)
-            if given:
-                out[0] = False
+            start = np.flatnonzero(np.concatenate(([True], ~like)))
+            head = np.repeat(node[start], np.diff(np.append(start, len(sig))))
+            if last is not None:
+                head[: start[1] if len(start) > 1 else len(sig)] = last[2]
+                given, out[0] = last[3], out[0] and not last[3]
+            else:
+                given = False
+            last = int(sig[-1]), int(node[-1]), int(head[-1]), bool(out[-1]) or (given and len(sig) == 1)
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(node[out])], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(node[out]), pa.array(head[out])], ["sig", "node", "head"])
 
-    return found.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(stream, "sig long, node long")
+    return found.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(stream, "sig long, node long, head long")
 
 
 #: Bits of the filter that keeps documents without a shared signature out of an exchange: 4 MB at any size of input.
@@ -380,8 +384,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included), one row per row of docs.
     Words are lower-cased (A-Z) runs of anything but ASCII white space, sets are the distinct n-grams of words, and the
     whole sequence where there are fewer words.  Null and empty texts have no set and link with nothing; documents with
-    equal sets link; rows that share a doc_id count as one document; a null doc_id sorts before all others; an empty
-    table gives no rows; other columns are not read.
+    equal sets link; rows that share a doc_id each link by their own sets; a null doc_id sorts before all others, and what
+    reaches one has component_id null; an empty table gives no rows; other columns are not read.
     """
     rows = repeats.prepared(docs, id_col, text_col)
     sets = core.checkpointed(_sets(rows, n))
@@ -404,7 +408,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = fresh if links is None else links.unionByName(fresh)
         done = pairs
         component = connected_components(links)
-    # the same document in several classes (rows that share a doc_id) ties them together
     named = classes.withColumn("component", F.col("node")) if component is None else classes.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     smallest = named.groupBy("component").agg(F.min("did").alias("root"))
     rooted = named.join(smallest, "component").select("node", "root")
@@ -413,31 +416,45 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Members of a block that is compared with another in one go.
-CANOPY = 256
+CANOPY = 4096
 
 
 def _canopies(buckets: DataFrame) -> DataFrame:
-    """node, canopy: the members that buckets connect, in blocks of about CANOPY at most."""
-    heads = buckets.groupBy("sig").agg(F.min("node").alias("a"))
-    tied = connected_components(buckets.join(heads, "sig").filter("node <> a").select("a", F.col("node").alias("b")))
-    parts = tied.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("parts"))
-    return core.checkpointed(tied.join(parts, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("canopy")))
+    """node, canopy, parts: the members that buckets connect, in blocks of about CANOPY at most, and how many blocks they make.
+
+    Larger groups are dealt by the smallest member that a node's smallest head leads to, so that what shares buckets mostly
+    shares a block; a head with more than a block of members is split.
+    """
+    tied = connected_components(buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    sizes = tied.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("parts"))
+    heads = core.checkpointed(buckets.groupBy("node").agg(F.min("head").alias("head")))
+    led = heads.join(heads.select(F.col("node").alias("head"), F.col("head").alias("lead")), "head").select("node", "lead")
+    crowd = led.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("crowd"))
+    placed = tied.join(sizes, "component").join(led, "node").join(crowd, "lead")
+    own = F.when(F.col("parts") > 1, F.xxhash64("component", F.pmod(F.xxhash64("lead"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("crowd")))).otherwise(F.col("component"))
+    return core.checkpointed(placed.select("node", own.alias("canopy"), "parts"))
 
 
 def _across(buckets: DataFrame, canopies: DataFrame, component: DataFrame | None, held: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Distinct pairs a < b of different components that share a bucket's canopies and whose sketches allow a link.
 
     Two members of a bucket are compared once, where their canopies meet, whatever the number of buckets they share; a
-    member goes only where its canopy shares a bucket of its own with the other.
+    member goes to another canopy only where that one shares a bucket with it.
     """
-    named = buckets.join(canopies, "node")
-    named = named.withColumn("component", F.col("node")) if component is None else named.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-    mixed = named.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("sig")
-    rest = core.checkpointed(named.join(mixed, "sig").select("sig", "node", "component", "canopy"))
+    if component is None:
+        named = canopies.withColumn("component", F.col("node"))
+    else:
+        named = core.checkpointed(canopies.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))))
+    mixed = named.groupBy("canopy").agg(F.min("component").alias("k0"), F.max("component").alias("k1")).filter("k0 <> k1").select("canopy")
+    inside = named.join(mixed, "canopy", "left_semi").select(F.col("canopy").alias("c1"), F.col("canopy").alias("c2"), F.lit(0).alias("side"), "node", "component")
+    # canopies meet where they share a bucket of several components
+    rest = core.checkpointed(buckets.select("sig", "node").join(named.drop("parts"), "node"))
+    several = rest.groupBy("sig").agg(F.min("component").alias("k0"), F.max("component").alias("k1"), F.min("canopy").alias("c0"), F.max("canopy").alias("c1")).filter("k0 <> k1 and c0 <> c1").select("sig")
+    rest = core.checkpointed(rest.join(several, "sig", "left_semi"))
     other = rest.select("sig", F.col("canopy").alias("other")).distinct()
     c1, c2 = F.least("canopy", "other").alias("c1"), F.greatest("canopy", "other").alias("c2")
-    met = rest.join(other, "sig").select(c1, c2, (F.col("canopy") > F.col("other")).cast("int").alias("side"), "node", "component").distinct()
-    dealt = met.join(held.select("node", "size", "sketch"), "node").select("c1", "c2", "side", "node", "component", "size", "sketch")
+    met = rest.join(other, "sig").filter("canopy <> other").select(c1, c2, (F.col("canopy") > F.col("other")).cast("int").alias("side"), "node", "component").distinct()
+    dealt = inside.unionByName(met).join(held.select("node", "size", "sketch"), "node").select("c1", "c2", "side", "node", "component", "size", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, [[[], [], [], []], [[], [], [], []]]
