@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of that SQL, on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(DIR).is_dir(), reason="no test tables")
 
 from rasterloom.plans import registry  # noqa: E402
