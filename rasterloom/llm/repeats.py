@@ -7,7 +7,8 @@ with the same key form a *piece*, stored as a few numbers.  Sorting the pieces b
 (key, content hash, document, start) in one exchange and streaming over them
 leaves out every key that occurs once, settles pieces that are byte-identical to
 an earlier one, and names the pieces whose windows have to be compared as text.
-The state of that stream is two numbers and one row, whatever the size of a group.
+The state of that stream is two numbers, one row and its copies in one document,
+whatever the size of a group.
 
 Rows equal in doc_id and text count as one document (each row is returned, with
 the same result).  Rows that share a doc_id with different texts are ordered by
@@ -115,12 +116,13 @@ def settle(found: DataFrame, across_documents: bool) -> DataFrame:
     their content under a key with several contents, or may repeat a window in
     themselves: they are to be compared as text.
     across_documents: a piece is settled only if the identical one stands in a
-    document with a smaller doc_id.
+    document with a smaller doc_id; under a key with several contents, the other
+    copies in the document of the first one are open as well.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None  # key, content, document of the first piece with that content
-        held: tuple | None = None  # the first piece of a key that has had one content so far
+        held: list[tuple] | None = None  # the first piece of a key that has had one content so far, and its copies in that document
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -139,15 +141,25 @@ def settle(found: DataFrame, across_documents: bool) -> DataFrame:
                 gone &= did > owner
             opened = new_c & ~new_h
             opened[rep[:-1][~new_h[rep[1:]]]] = True
+            again = ~new_c & (did == owner) & across_documents
+            if len(rep):
+                opened |= again & (group >= 0) & opened[rep][np.maximum(group, 0)]
+            lead = again & (group < 0)
+            if held is None:
+                opened |= lead
+            elif lead.any():
+                held.append(tuple(x[lead] for x in (h, did, tie, loc)))
             out = []
             if held is not None and len(rep):
                 if not new_h[rep[0]]:
-                    out.append((*(np.array([x]) for x in held), np.array([True])))
+                    out += [(*x, np.full(len(x[0]), True)) for x in held]
                 held = None
             if not across_documents:
                 opened |= new_c & own
             if len(rep) and new_h[rep[-1]] and not opened[rep[-1]]:
-                held = tuple(x[rep[-1]] for x in (h, did, tie, loc))
+                mine = again & (group == len(rep) - 1)
+                mine[rep[-1]] = True
+                held = [tuple(x[mine] for x in (h, did, tie, loc))]
             out += [(h[mask], did[mask], tie[mask], loc[mask], np.full(int(mask.sum()), flag)) for mask, flag in ((gone, False), (opened, True)) if mask.any()]
             last = (int(h[-1]), int(ch[-1]), int(owner[-1]))
             if out:

@@ -23,6 +23,27 @@ def test_substring_dedup_matches_brute_force(documents, corpus):
     assert got == substring_dedup.brute_force({i: (t or "").encode() for i, t in corpus.items()}, 20)
 
 
+@pytest.mark.parametrize("batch", ["3", "4000"])
+def test_substring_dedup_repeats_inside_the_later_document(spark, batch):
+    """Y P Z Y P Z behind a document with P in another context: both P go, whichever content of a key sorts first."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    texts = {}
+    for i in range(0, 60, 3):
+        p, yz = text(60), (text(30), text(30))
+        texts[i] = f"{text(30)} {p} {text(30)}"
+        texts[i + 1] = " ".join((yz[0], p, yz[1])) + " " + " ".join((yz[0], p, yz[1])) + (f" {yz[0]} {p} {yz[1]}" if i % 2 else "")
+        texts[i + 2] = texts[i + 1] if i % 4 else f"{text(9)} {p} {text(9)} {p}"
+    df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA).repartition(3)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.repeated_phrase_dedup(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert got == substring_dedup.brute_force({i: t.encode() for i, t in texts.items()})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abé", max_size=40), min_size=1, max_size=9), st.integers(3, 9))
 def test_merged_intervals_find_every_repeat(texts, length):
