@@ -122,11 +122,19 @@ def settle(found: DataFrame, across_documents: bool) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None  # key, content, document of the first piece with that content
+        before: tuple | None = None  # the row before this batch
         held: list[tuple] | None = None  # the first piece of a key that has had one content so far, and its copies in that document
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, ch, did, tie, loc, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            once = np.ones(batch.num_rows, dtype=bool)  # rows that repeat doc_id and text have equal pieces, side by side
+            once[1:] = np.any([x[1:] != x[:-1] for x in columns[:5]], axis=0)
+            once[0] = before is None or before != tuple(x[0] for x in columns[:5])
+            before = tuple(x[-1] for x in columns[:5])
+            if not once.any():
+                continue
+            h, ch, did, tie, loc, own = (x[once] for x in columns)
             new_h = np.ones(len(h), dtype=bool)
             new_h[1:] = h[1:] != h[:-1]
             new_c = new_h.copy()
@@ -204,12 +212,15 @@ TEXT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[list]]:
-    """Columns of rows sorted by their first column, cut between groups once limit bytes are there."""
+    """Columns of rows sorted by their first four columns, each once, cut between groups of the first once limit bytes are there."""
     held: list[list] = [[], [], [], [], []]
-    size = 0
+    size, last = 0, None
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
+            if row[:4] == last:  # the piece of a row that repeats doc_id and text
+                continue
+            last = row[:4]
             if size >= limit and row[0] != held[0][-1]:
                 yield held
                 held, size = [[], [], [], [], []], 0

@@ -86,7 +86,7 @@ def repeated_phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if did:
                 yield pa.RecordBatch.from_arrays([pa.array(did, type=pa.int64()), pa.array(tie, type=pa.int32()), pa.array(loc, type=pa.int64())], ["did", "tie", "loc"])
 
-    opened = repeats.open_texts(rows, settled, cut_words(length)).repartition("h").sortWithinPartitions("h")
+    opened = repeats.open_texts(rows, settled, cut_words(length)).repartition("h").sortWithinPartitions("h", "did", "tie", "loc")
     located = opened.mapInArrow(locating, "did long, tie int, loc long")
     spans = settled.filter("not open").select("did", "tie", "loc").unionByName(located)
 

@@ -44,6 +44,17 @@ def test_substring_dedup_repeats_inside_the_later_document(spark, batch):
     assert got == substring_dedup.brute_force({i: t.encode() for i, t in texts.items()})
 
 
+def test_rows_that_repeat_id_and_text_are_one_document(spark, corpus):
+    """Two identical rows and no third copy lose nothing; with other documents they lose what one row does."""
+    texts = {i: corpus[i] for i in (0, 3, *range(60, 74), 80, 81, 95, 99)} | {200: "one two three four five six seven eight nine ten " * 9, 201: " ".join(f"q{i}" for i in range(150))}
+    df = spark.createDataFrame([(i, t, "") for i, t in texts.items() for _ in range(1 + i % 3)], SCHEMA).repartition(4)
+    raw = {i: t.encode() for i, t in texts.items()}
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())) for r in suffix_dedup.suffix_array_dedup(df).collect()]
+    assert len(got) == sum(1 + i % 3 for i in texts) and set(got) == set(suffix_dedup.brute_force(raw).items())
+    got = [(r.doc_id, (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())) for r in substring_dedup.repeated_phrase_dedup(df, length=20).collect()]
+    assert len(got) == sum(1 + i % 3 for i in texts) and set(got) == set(substring_dedup.brute_force(raw, 20).items())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abé", max_size=40), min_size=1, max_size=9), st.integers(3, 9))
 def test_merged_intervals_find_every_repeat(texts, length):
