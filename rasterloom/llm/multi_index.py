@@ -5,8 +5,8 @@ a bounded sample), and the product of the codebooks is the grid of cells; every
 vector is indexed in the cell of its two nearest codewords.  A query visits cells in
 order of the sum of its two codeword distances (the multi-sequence order).  How many
 it visits is the smallest number that finds the target share of the true neighbours
-of sample vectors, and the neighbours found are verified by cosine in double
-precision.
+of sample vectors, in every band of cosines and for neighbours made near the threshold,
+and the neighbours found are verified by cosine in double precision.
 
 Equal vectors of one label are collapsed before and counted after, cells with many
 vectors are split into blocks that each meet the cell's queries, and the probes of a
@@ -71,38 +71,58 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, labels: np.ndarray, k: int, threshold: float, target_recall: float, seed: int = 5):
         half = sample.shape[1] - sample.shape[1] // 2
         self.books = _kmeans(sample[:, :half], k, seed), _kmeans(sample[:, half:], k, seed + 1)
-        queries, partners = self._pairs(sample, labels, threshold)
-        if len(queries) < 50:  # too few true neighbours in the sample: neighbours at the threshold itself
-            rng = np.random.default_rng(seed)
-            q = sample[rng.integers(0, len(sample), 400)]
-            away = rng.standard_normal(q.shape)
-            away -= (away * q).sum(1)[:, None] * q
-            away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
-            c = threshold + (1 - threshold) * 0.25
-            queries, partners = q, c * q + np.sqrt(1 - c * c) * away
+        rng = np.random.default_rng(seed)
+        q = sample[rng.integers(0, len(sample), 400)]
+        away = rng.standard_normal(q.shape)
+        away -= (away * q).sum(1)[:, None] * q
+        away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
+        c = threshold + (1 - threshold) * 0.25
+        groups = [(q, c * q + np.sqrt(1 - c * c) * away), *self._pairs(sample, labels, threshold)]  # neighbours near the threshold, always
         self.visits = k * k
-        for t in (1, 2, 4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024):
+        own = [_ordered_cells(partners, self.books, 1) for _, partners in groups]
+        for t in (1, 2, 4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096):
             if t >= k * k:
                 break
-            visited = _ordered_cells(queries, self.books, t)
-            own = _ordered_cells(partners, self.books, 1)
-            if (visited == own).any(axis=1).mean() >= target_recall:
+            if all(self._found(queries, cells, t) >= target_recall for (queries, _), cells in zip(groups, own, strict=True)):
                 self.visits = t
                 break
 
+    def _found(self, queries: np.ndarray, own: np.ndarray, t: int) -> float:
+        """Share of the queries whose partner's cell is among the first t."""
+        hits = [(_ordered_cells(queries[s : s + 256], self.books, t) == own[s : s + 256]).any(axis=1) for s in range(0, len(queries), 256)]
+        return float(np.concatenate(hits).mean())
+
     @staticmethod
-    def _pairs(sample: np.ndarray, labels: np.ndarray, threshold: float, most: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
+    def _pairs(sample: np.ndarray, labels: np.ndarray, threshold: float, most: int = 4_000, each: int = 2, least: int = 50) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of true neighbours in bands of cosine from the threshold up, each to be found on its own.
+
+        Every vector gives its weakest pairs (``each`` at most), so a tight group cannot crowd out the rest; a band takes
+        its pairs spread evenly over the vectors.  Bands with few pairs join the next one; fewer than ``least`` decide nothing.
+        """
+        code = np.unique(labels, return_inverse=True)[1]
+        a, b, c = [], [], []
         for s in range(0, len(sample), 512):
-            near = (sample[s : s + 512] @ sample.T >= threshold) & (labels[s : s + 512, None] == labels[None, :])
+            cosine = sample[s : s + 512] @ sample.T
+            near = (cosine >= threshold) & (code[s : s + 512, None] == code[None, :])
             i, j = np.nonzero(near)
-            i += s
-            a.append(i[i != j])
-            b.append(j[i != j])
-            if sum(map(len, a)) >= most:
-                break
-        a, b = np.concatenate(a)[:most], np.concatenate(b)[:most]
-        return sample[a], sample[b]
+            i, j = i[i + s != j], j[i + s != j]
+            x = cosine[i, j]
+            by = np.lexsort((x, i))
+            i, j, x = i[by], j[by], x[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            a.append(i[place < each] + s)
+            b.append(j[place < each])
+            c.append(x[place < each])
+        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
+        band = np.searchsorted(threshold + (1 - threshold) * np.array([0.15, 0.3, 0.5, 0.75]), c, "right")
+        out, held = [], np.zeros(0, dtype=np.int64)
+        for k in range(5):
+            held = np.concatenate((held, np.flatnonzero(band == k)))
+            if len(held) >= least:
+                held = held[:: -(-len(held) // (most // 5))]
+                out.append((sample[a[held]], sample[b[held]]))
+                held = np.zeros(0, dtype=np.int64)
+        return out
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -159,6 +159,22 @@ def test_embedding_links_and_recall(spark):
     assert all(r.component_id <= i and got[r.component_id].component_id == r.component_id for i, r in got.items())
 
 
+@pytest.mark.parametrize("tight", [0, 300, 1000])
+def test_weak_pairs_are_found_beside_a_tight_group(tight):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    one = unit(rng.standard_normal((1500, 64)))
+    away = rng.standard_normal(one.shape)
+    away = unit(away - (away * one).sum(1)[:, None] * one)
+    c = rng.uniform(0.931, 0.95, len(one))[:, None]
+    two = c * one + np.sqrt(1 - c * c) * away
+    group = unit(rng.standard_normal((1, 64)) + 0.02 * rng.standard_normal((tight, 64)))
+    sample = np.concatenate((group, one, two, unit(rng.standard_normal((5000, 64)))))
+    index = multi_index.MultiIndex(sample, np.array(["64/1"] * len(sample)), 32, 0.93, 0.985)
+    cells = multi_index._ordered_cells(two, index.books, 1)
+    assert index._found(one, cells, index.visits) >= 0.95
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((30, 10))
