@@ -29,10 +29,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that n-gram Jaccard links connect, the one with the smallest doc_id.
 
+    Links are Jaccard similarities of 0.8 at least over runs of five words (op4 has four words and 0.85 by its contract).
     Rows that share a doc_id are one document and stay together; a null doc_id is a doc_id of its own.
     """
     core.tune(spark)
-    kept = jaccard_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_classes(docs, n=5, num=4, den=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
 

@@ -161,6 +161,23 @@ def test_jaccard_other_thresholds(spark):
     assert got == jaccard.brute_force(texts, 2, 7, 10)
 
 
+def test_pipeline_drops_copies_from_four_fifths(spark):
+    """Copies with a five-word Jaccard of 0.811 go, those of 0.772 stay."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    words = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for i in range(0, 30, 3):
+        base = words(1000)
+        at = rng.randrange(100, 800)
+        texts[i], texts[i + 1], texts[i + 2] = base, base[:at] + words(100) + base[at + 100 :], base[:at] + words(125) + base[at + 125 :]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == {i for i in texts if i % 3 != 1}
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e", ""), (5, "a b c d e", ""), (5, "p q r s t", ""), (9, "P q r s t", ""), (7, None, "")], SCHEMA)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect()]
