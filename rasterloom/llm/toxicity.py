@@ -185,7 +185,7 @@ class Model:
         self._index(sample)
 
     def _choose(self, sample: DataFrame, nt: int, nc: int, max_terms: int) -> None:
-        often = _document_counts(sample, None, "label = 1").filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "gram").limit(1 << 16).collect()
+        often = _document_counts(sample, None, "label = 1").filter(F.col("n") >= LEAST_DOCUMENTS).collect()  # all of them: rare grams may tell the most
         if not often:
             return
         gram = np.array([r[0] for r in often], dtype=np.int64).view(core.U64)

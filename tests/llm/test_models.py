@@ -62,6 +62,17 @@ def test_block_max_search_is_exact():
     assert index.opened < 50 * -(-w.shape[1] // toxicity.BLOCK)
 
 
+def test_toxicity_terms_come_from_all_grams(spark):
+    """A word of a third of the toxic examples is a term beside more than 65,536 grams that all examples share."""
+    rng = random.Random(6)
+    common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(3500)]
+    texts = [(i, " ".join(rng.sample(common, len(common)) + ["zzyzxqwv"] * (i % 2 and i % 3 == 0))) for i in range(160)]
+    docs = spark.createDataFrame(texts, SCHEMA).repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.Model(docs, labels, "doc_id", "text", "toxic", toxicity.MAX_EXAMPLES, toxicity.MAX_TERMS)
+    assert core.hash_word(b"zzyzxqwv") in model.terms.tolist()
+
+
 def test_toxicity_without_labels(spark, toxic_docs):
     docs = spark.createDataFrame(toxic_docs[0][:20], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
