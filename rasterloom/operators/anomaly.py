@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows that trees are grown from: those with the smallest hash of the id.
 POOL = 8_192
 
+#: Spread of a column, relative to its values, that counts as none.
+ROUNDING = 1e-12
+
 
 def average_path(n: float) -> float:
     """Mean depth of an unsuccessful search in a binary search tree of n keys."""
@@ -38,12 +41,13 @@ class IsolationForest:
             for column in (dim, cut, left, right, depth):
                 column.append(0)
             low, high = rows.min(0), rows.max(0)
-            wide = np.flatnonzero(high > low)
+            wide = np.flatnonzero(high - low > ROUNDING * np.maximum(np.abs(low), np.abs(high)))  # rounding noise makes no cut
             if level >= deep or len(rows) <= 1 or not len(wide):
                 dim[me], depth[me] = -1, level + average_path(len(rows))
                 return me
             k = int(rng.choice(wide))
-            at = rng.uniform(low[k], high[k])
+            # in (low, high], so that neither side is empty
+            at = max(high[k] - rng.random() * (high[k] - low[k]), np.nextafter(low[k], np.inf))
             below = rows[:, k] < at
             dim[me], cut[me] = k, at
             left[me] = node(rows[below], level + 1)

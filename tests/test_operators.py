@@ -386,3 +386,15 @@ def test_pipelines_on_a_drawing(spark):
     assert got[0].shape == (52, 52) and set(np.unique(got[0])) <= {0, 255}
     nodes, edges = pipelines.skeleton_graphs(s)
     assert nodes.count() >= 0 and edges.columns == ["graph_id", "src", "dst", "length", "path_pixels"]
+
+
+def test_isolation_trees_cut_no_empty_sides():
+    """Neighbouring doubles, constant columns, one row and rounding noise."""
+    rng = np.random.default_rng(0)
+    near = np.array([[1.0, 5.0], [np.nextafter(1.0, 2.0), 5.0], [1.0, 5.0 + 1e-13]])
+    wide = np.array([[0.0, 5.0], [np.nextafter(0.0, 1.0), 5.0], [0.0, 7.0]])
+    for seed in range(300):
+        for x in (near, wide, near[:1], np.zeros((4, 2))):
+            dim, _, _, _, depth = anomaly.IsolationForest._grow(x, 8, np.random.default_rng(seed))
+            assert (depth[dim < 0] >= 0).all()
+    assert len(anomaly.IsolationForest._grow(near, 8, rng)[0]) == 1
