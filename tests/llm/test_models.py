@@ -47,30 +47,51 @@ def test_toxicity_held_out(spark, toxic_docs):
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     w = (rng.random((40, 700)) < 0.06) * rng.random((40, 700))
+    w[:, 100:130] = w[:, 100:101]  # ties
     norm = np.linalg.norm(w, axis=0)
-    w = (w[:, norm > 0] / norm[norm > 0]).astype(np.float32)
+    w = w[:, norm > 0] / norm[norm > 0]
     labels = rng.integers(0, 2, w.shape[1])
-    index = toxicity.BlockMaxIndex(w, labels, np.arange(w.shape[1]), (1.0, 1.0))
+    term, example = np.nonzero(w)
+    index = toxicity.BlockMaxIndex(term, example, w[term, example], 40, labels, np.arange(w.shape[1]), (1.0, 1.0))
     for _ in range(50):
         terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         q = rng.random(len(terms))
         q /= np.linalg.norm(q)
         found, cosine = index.nearest(terms, q, 15)
-        every = q @ index.postings[terms]
-        best = np.sort(every[every > 0])[::-1][:15]
-        assert np.allclose(np.sort(cosine)[::-1], best, atol=1e-6)
+        every = q @ w[terms]
+        best = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[:15]
+        best = best[every[best] > 0]
+        assert np.allclose(cosine, every[best]) and sorted(index.ids[found].tolist()) == sorted(best.tolist())
+        for i in np.flatnonzero(every > 0)[:2].tolist():
+            assert i not in index.ids[index.nearest(terms, q, 15, without=i)[0]].tolist()
     assert index.opened < 50 * -(-w.shape[1] // toxicity.BLOCK)
 
 
-def test_toxicity_terms_come_from_all_grams(spark):
-    """A word of a third of the toxic examples is a term beside more than 65,536 grams that all examples share."""
+def test_toxicity_neighbours_match_brute_force(spark, toxic_docs):
+    """Every text with a word of the examples has its k nearest, exactly; also a very long one, ties and clashing columns."""
+    rows, labels = toxic_docs
+    texts = dict(rows[:240]) | {1000: rows[3][1], 1001: " ".join(t for _, t in rows) * 3, 1002: "wholly unknownword", 1003: ""}
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t in texts.items()], "doc_id long, text string, score double, body string").repartition(4)
+    truth = {i: t for i, _, t in labels[:240]}
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
+    expected = toxicity.brute_force(texts, truth)
+    for d, near in expected.items():
+        assert np.allclose(got[d].evidence_cosines, [c for _, c in near], atol=1e-6)
+        last = near[-1][1] if near else 0
+        assert {e for e, c in near if c > last + 1e-9} <= set(got[d].evidence_ids)
+        assert (not texts[d].split() or d == 1002) == (not near)
+    assert got[1002].score == got[1003].score
+
+
+def test_toxicity_has_no_cap_on_words(spark):
+    """A word of a third of the toxic examples is found beside thousands of words that all examples share."""
     rng = random.Random(6)
     common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(3500)]
     texts = [(i, " ".join(rng.sample(common, len(common)) + ["zzyzxqwv"] * (i % 2 and i % 3 == 0))) for i in range(160)]
     docs = spark.createDataFrame(texts, SCHEMA).repartition(8)
     labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
-    model = toxicity.Model(docs, labels, "doc_id", "text", "toxic", toxicity.MAX_EXAMPLES, toxicity.MAX_TERMS)
-    assert core.hash_word(b"zzyzxqwv") in model.terms.tolist()
+    model = toxicity.Model(docs, labels, "doc_id", "text", "toxic", toxicity.MAX_EXAMPLES)
+    assert len(model.words) == 3501 and core.hash_word(b"zzyzxqwv") in model.words.tolist()
 
 
 def test_toxicity_without_labels(spark, toxic_docs):
