@@ -38,7 +38,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     core.tune(spark)
-    return license_scan(core.table(spark, sf_dir, "documents")).drop("body")
+    return license_scan(core.table(spark, sf_dir, "documents")).drop("body", "blocks")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

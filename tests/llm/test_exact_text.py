@@ -108,24 +108,71 @@ def test_dedup_edges(spark):
     assert substring_dedup.repeated_phrase_dedup(empty).count() == 0
 
 
+def _licenses(df, **kw):
+    out = {}
+    for r in licenses.license_scan(df, **kw).collect():
+        blocks = sorted((b.label, b.first_word, b.share) for b in r.blocks)
+        out[r.doc_id] = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, blocks)
+    return out
+
+
+#: Headers as they stand in source files: wrapped at 80 columns, with comment marks.
+MIT = """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is ...
+ */"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# 1. Redistributions of source code must retain the above copyright notice."""
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License"); you may not
+// use this file except in compliance with the License. You may obtain a copy of
+// the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+// WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """   This program is free software: you can redistribute it and/or modify it
+   under the terms of the GNU General Public License as published by the Free
+   Software Foundation, either version 3 of the License, or any later version."""
+
+
 def test_license_scan(spark, documents, corpus):
     notices = {0: "GNU General Public License\nGNU general public LICENSE", 1: "Licensed%%% under&&& the&&& Apache*** License, Version 2.0.", 2: "x\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions hold", 3: "mit dem license", 4: None, 5: ""}
-    df = spark.createDataFrame([(i, t, "") for i, t in notices.items()], SCHEMA)
-    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.license_scan(df).collect()}
+    notices |= {6: MIT, 7: BSD, 8: APACHE, 9: GPL, 10: "word " * 3000 + MIT.replace("\n", " ") + " word" * 3000 + BSD, 11: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."}
+    df = spark.createDataFrame([(i, t, "") for i, t in notices.items()] + [(7, BSD, "again")], SCHEMA)
+    got = _licenses(df)
     assert got == {i: licenses.brute_force(t) for i, t in notices.items()}
-    assert got[0][1] == 2 and "apache" in got[1][4] and "bsd-notice" in got[2][5] and got[3][5] == "" and got[4] == (0, 0, None, None, "", "", 0.0)
-    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.license_scan(documents).collect()}
-    assert got == {i: licenses.brute_force(t) for i, t in corpus.items()}
+    assert got[0][1] == 2 and "apache" in got[1][4] and "bsd-notice" in got[2][5] and got[3][5] == "" and got[4] == (0, 0, None, None, "", "", 0.0, [])
+    assert got[6][5] == "mit-grant,mit-notice" and got[7][5] == "bsd-notice" and got[8][5] == "apache,apache-2.0,apache-notice,apache-terms" and "gpl-notice" in got[9][5]
+    assert got[10][5] == "bsd-notice,mit-grant,mit-notice" and got[11][5] == "cc-by-nc-4.0" and {b[0] for b in got[11][7]} >= {"cc-by-4.0", "cc-by-nc-4.0"}
+    assert _licenses(documents) == {i: licenses.brute_force(t) for i, t in corpus.items()}
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
 def test_license_threshold_is_a_containment(spark):
-    base = licenses.TEMPLATES[7][1].split()
+    """Shares of a template, spread over longer and longer stretches, and words of one notice in a text without breaks."""
     rng = random.Random(1)
-    texts = {i: " ".join(rng.sample(base, k) + ["filler"] * i) for i, k in enumerate(range(4, len(base) + 1))}
-    df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA)
-    got = {r.doc_id: r.labels for r in licenses.license_scan(df).collect()}
-    assert got == {i: licenses.brute_force(t)[5] for i, t in texts.items()}
+    templates = dict(licenses.TEMPLATES)
+    texts = {}
+    for label in ("bsd-notice", "mit-notice", "cc-by-4.0"):
+        base = templates[label].split()
+        for k in range(4, len(base) + 1):
+            w = rng.sample(base, k)
+            texts[len(texts)] = " ".join(w + ["filler"] * k)
+            for _ in range(rng.randint(0, len(base) // 2)):
+                w.insert(rng.randrange(len(w)), "filler")
+            texts[len(texts)] = " ".join(w)
+    every = " ".join(t for _, t in licenses.TEMPLATES).split()
+    for i in range(20):
+        texts[1000 + i] = " ".join(rng.choice(every) for _ in range(400))
+    df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA).repartition(3)
+    for threshold in (0.8, 0.5):
+        assert _licenses(df, threshold=threshold) == {i: licenses.brute_force(t, threshold=threshold) for i, t in texts.items()}
 
 
 def _near_texts():
@@ -237,12 +284,13 @@ def test_decontamination_edges(spark):
     assert decontaminate.benchmark_decontamination(docs.limit(0), bench).count() == 0
 
 
-def _mix(df):
-    return {(r.doc_id, r.size): r for r in mixing.mix_sources(df).collect()}
+def _mix(df, **kw):
+    return {(r.doc_id, r.size): r for r in mixing.mix_sources(df, **kw).collect()}
 
 
-def test_mixing_targets_and_caps(documents, corpus):
-    got = _mix(documents)
+@pytest.mark.parametrize("packet", [1, mixing.PACKET])
+def test_mixing_targets_and_caps(documents, corpus, packet):
+    got = _mix(documents, packet=packet)
     assert len(got) == len(corpus)
     total = sum(r.size for r in got.values())
     by = {}
@@ -250,10 +298,42 @@ def test_mixing_targets_and_caps(documents, corpus):
         assert 0 <= r.taken <= 2 * r.size
         by.setdefault(r.source, []).append(r)
     assert sum(rs[0].target for rs in by.values()) == pytest.approx(1.5 * total)
+    assert sum(r.taken for r in got.values()) == int(1.5 * total)
     for rs in by.values():
         assert rs[0].target <= 2 * rs[0].source_size + 1e-6
-        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 1
-    assert {k: r.taken for k, r in got.items()} == {k: r.taken for k, r in _mix(documents.repartition(7)).items()}
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= packet
+    assert {k: r.taken for k, r in got.items()} == {k: r.taken for k, r in _mix(documents.repartition(7), packet=packet).items()}
+
+
+@pytest.mark.parametrize("share, cap", [(1.5, 2.0), (0.5, 1.0), (1.25, 1.5)])
+def test_mixing_is_the_order_of_finish_times(spark, share, cap):
+    """Against packets sent one after the other from a heap of queues; a long text, ties and clashing columns among them."""
+    import heapq
+
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 40, 300]), f"s{i % 5 % 4}", 9, 9.0, 9) for i in range(60)] + [(60, "w " * 5000, None, 1, 1.0, 1), (60, "w " * 5000, "s1", 1, 1.0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, finish double, start long")
+    got = mixing.mix_sources(df, share=share, cap=cap, packet=16).collect()
+    queues = {}
+    for r in sorted(got, key=lambda r: r.start):
+        queues.setdefault(r.source, []).append(r)
+    taken, heap = {}, []
+    for source, q in queues.items():
+        packets = [(n, r, a, min(a + 16, r.size)) for n in range(2) for r in q for a in range(0, r.size, 16) if n * r.source_size + r.start + a < int(cap * r.source_size)]
+        if packets:
+            packets = [(n, r, a, min(b, int(cap * r.source_size) - n * r.source_size - r.start)) for n, r, a, b in packets]
+            heapq.heappush(heap, ((packets[0][0] * packets[0][1].source_size + packets[0][1].start + packets[0][3]) / packets[0][1].target, source is None, source or "", 0, id(packets), packets))
+    left = int(share * sum(r.size for r in got))
+    while heap and left:
+        _, last, source, k, key, packets = heapq.heappop(heap)
+        _, r, a, b = packets[k]
+        words = min(b - a, left)
+        left -= words
+        taken[r.source, r.doc_id] = taken.get((r.source, r.doc_id), 0) + words
+        if k + 1 < len(packets):
+            n, r, a, b = packets[k + 1]
+            heapq.heappush(heap, ((n * r.source_size + r.start + b) / r.target, last, source, k + 1, key, packets))
+    assert {(r.source, r.doc_id): r.taken for r in got if r.taken} == taken
 
 
 def test_mixing_reshares_what_small_sources_cannot_take(spark):
