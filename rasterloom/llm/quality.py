@@ -1,14 +1,14 @@
 """Quality classifier by importance resampling (operator 5).
 
-Every word is reduced to its shape (runs of upper case, lower case, digits, other
-bytes as they are) and whether it repeats the word before.  Hashed n-grams of shapes
-make two bag-of-n-grams models: the target model from documents labelled good and the
+Texts are cut into words and runs of punctuation, a token that repeats the one before
+it is written as a repeat mark, and the hashed unigrams and bigrams of tokens make two bag-of-n-grams models: the target model from documents labelled good and the
 raw model from all documents.  A document's importance weight is the ratio of its
-probabilities under both, its log the sum over its n-grams.  Sampling k documents
-without replacement in proportion to the weights is a top-k of log weight plus
-Gumbel noise drawn from a hash of the id, scaled by a temperature.  By default k is
-the number of documents that the target model explains at least as well as the raw
-one, so the sample leaves out what the target model rejects.
+probabilities under both, taken for a stretch of a nominal length, so that long and
+short documents compare: its log is the mean log ratio of the n-grams times that
+length.  Sampling k documents without replacement in proportion to the weights is a
+top-k of log weight plus standard Gumbel noise, drawn from a hash of the id.  By
+default k is the number of documents that the target model explains at least as well
+as the raw one; which documents near that line are drawn is left to the noise.
 """
 
 from __future__ import annotations
@@ -23,42 +23,50 @@ from pyspark.sql import functions as F
 
 from . import core
 
-BUCKETS = 1 << 14
-ORDERS = (1, 2, 3)
+BUCKETS = 1 << 16
+ORDERS = (1, 2)
 #: Labelled documents that make the target model: those with the smallest hash of the id.
 MAX_LABELLED = 50_000
-PRIOR = 2_000.0
-
-_SHAPE = np.arange(256, dtype=np.uint8)
-_SHAPE[0x61:0x7B] = 0x61
-_SHAPE[0x80:] = 0x61
-_SHAPE[0x41:0x5B] = 0x41
-_SHAPE[0x30:0x3A] = 0x30
+#: n-grams of the raw model mixed into the target model's counts, per bucket.
+PRIOR = 1.0
+#: n-grams of the stretch that a weight stands for, and n-grams without evidence added to every document.
+STRETCH, SHORT = 64, 8
+
+#: Stands for a token that repeats the one before it.
+REPEAT = core.U64(0x5265706561740000)
+
+#: 1: part of a word, 2: punctuation, 0: white space.
+_CLASS = np.where(core.LETTER_WORDS, 1, np.where(core.SPACE_WORDS, 2, 0)).astype(np.uint8)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word and every run of punctuation of a chunk, in order; case counts, repeats are REPEAT."""
+    buf = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    kind = _CLASS[buf]
+    start = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(buf) else np.zeros(0, dtype=np.int64)
+    end = np.append(start[1:], len(buf))
+    some = kind[start] > 0
+    start, lens = start[some], (end - start)[some]
+    if not len(start):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=core.U64)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    body = buf[kind > 0]
+    at = np.cumsum(lens) - lens
+    values = core._BYTE_VALUES[body] * core._position_values(int(lens.max()))[np.arange(len(body)) - np.repeat(at, lens)]
+    value = core.mix64(np.add.reduceat(values, at) + lens.astype(core.U64) * core.U64(core._MULT))
+    again = np.flatnonzero((value[1:] == value[:-1]) & (doc[1:] == doc[:-1])) + 1
+    value[again] = REPEAT
+    return doc, value
 
 
 def ngrams(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every hashed shape n-gram of a chunk."""
-    words = core.Words(texts, core.SPACE_WORDS, core.SAME)
-    if not len(words.start):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    shape = _SHAPE[words.buf]
-    keep = np.ones(len(shape), dtype=bool)
-    keep[1:] = (shape[1:] != shape[:-1]) | ((shape[1:] != 0x61) & (shape[1:] != 0x41) & (shape[1:] != 0x30))
-    keep[words.start] = True
-    keep &= core.SPACE_WORDS[words.buf]
-    at = np.cumsum(keep)[words.start] - 1
-    body = shape[keep]
-    lens = np.diff(np.append(at, len(body)))
-    values = core._BYTE_VALUES[body] * core._position_values(int(lens.max()))[np.arange(len(body)) - np.repeat(at, lens)]
-    symbol = core.mix64(np.add.reduceat(values, at))
-    again = np.zeros(len(symbol), dtype=bool)
-    again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
-    symbol = core.mix64(symbol + again.astype(core.U64))
-    docs, found = [], []
+    """(document, bucket) of every hashed n-gram of a chunk."""
+    doc, value = tokens(texts)
+    docs, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for n in ORDERS:
-        grams = core.rolling(symbol, n)
-        ok = words.doc[: len(grams)] == words.doc[n - 1 :] if len(grams) else np.zeros(0, dtype=bool)
-        docs.append(words.doc[: len(grams)][ok])
+        grams = core.rolling(value, n)
+        ok = doc[: len(grams)] == doc[n - 1 :] if len(grams) else np.zeros(0, dtype=bool)
+        docs.append(doc[: len(grams)][ok])
         found.append((core.mix64(grams[ok] + core.U64(n)) & core.U64(buckets - 1)).astype(np.int64))
     return np.concatenate(docs), np.concatenate(found)
 
@@ -81,12 +89,13 @@ def _models(rows: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
 
     total = rows.select("_id", "body").mapInArrow(counting, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in total.collect():  # one row per bucket
-        raw[r[0]], target[r[0]] = r[1], r[2]
+    counted = total.toPandas()  # one row per bucket
+    at = counted["bucket"].to_numpy(dtype=np.int64)
+    raw[at], target[at] = counted["raw"], counted["target"]
     if not raw.sum() or not target.sum():
         return np.zeros(buckets)
     p = (raw + 0.5) / (raw + 0.5).sum()
-    return np.log((target + PRIOR * p) / (target.sum() + PRIOR)) - np.log(p)
+    return np.log((target + PRIOR * buckets * p) / (target.sum() + PRIOR * buckets)) - np.log(p)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, few: int = 20_000) -> float | None:
@@ -126,11 +135,11 @@ def _gumbel(key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", k: int | None = None, temperature: float = 0.1, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", k: int | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> DataFrame:
     """The documents with their importance weights and whether they are in the sample of k.
 
     Returns the columns of docs with log_weight, n_grams, key (log weight + temperature * Gumbel noise) and kept.  k
-    None: as many as have a log weight of 0 at least.  Null and empty texts have log weight 0; documents with equal keys at
+    None: as many as have a log weight of 0 at least.  Texts of any length are read whole.  Null and empty texts have log weight 0; documents with equal keys at
     the edge of the sample are all kept; a null id draws one fixed noise; rows with equal ids draw equal noise; an id
     labelled twice counts as good if any label says so; without labels or documents every log weight is 0.  Columns of
     docs that have one of the added names are replaced.
@@ -146,8 +155,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
             weight, n = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
             for a, b in core.chunks(texts):
                 doc, bucket = ngrams(texts[a:b], buckets)
-                weight.append(np.bincount(doc, weights=ratio[bucket], minlength=b - a))
                 n.append(np.bincount(doc, minlength=b - a))
+                weight.append(STRETCH * np.bincount(doc, weights=ratio[bucket], minlength=b - a) / (n[-1] + SHORT))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.concatenate(weight)), pa.array(np.concatenate(n).astype(np.int64))], [*names, "log_weight", "n_grams"])
 
     base = docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"))
@@ -161,16 +170,23 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 
 def brute_force(texts: dict[int, str | None], good: set[int], buckets: int = BUCKETS) -> dict[int, float]:
-    """Log weights, one n-gram at a time (small inputs)."""
+    """Log weights: tokens by a regular expression, one n-gram at a time (small inputs)."""
+    import re
     from collections import Counter
 
-    grams = {d: ngrams([(t or "").encode()], buckets)[1].tolist() for d, t in texts.items()}
+    pattern = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+")
+    grams = {}
+    for d, t in texts.items():
+        token = [core.hash_word(w) for w in pattern.findall((t or "").encode())]
+        token = [int(REPEAT) if i and token[i - 1] == x else x for i, x in enumerate(token)]
+        runs = [(core.rolling_one(token[i : i + n]) + n) & core.MASK64 for n in ORDERS for i in range(len(token) - n + 1)]
+        grams[d] = [int(core.mix64(np.array([x], dtype=core.U64))[0]) % buckets for x in runs]
     raw, target = Counter(), Counter()
     for d, g in grams.items():
         raw.update(g)
         if d in good:
             target.update(g)
-    total, n = sum(raw.values()) + 0.5 * buckets, sum(target.values())
+    total, n, prior = sum(raw.values()) + 0.5 * buckets, sum(target.values()), PRIOR * buckets
     p = lambda b: (raw[b] + 0.5) / total
-    w = lambda b: math.log((target[b] + PRIOR * p(b)) / (n + PRIOR)) - math.log(p(b))
-    return {d: sum(w(b) for b in g) if n else 0.0 for d, g in grams.items()}
+    w = lambda b: math.log((target[b] + prior * p(b)) / (n + prior)) - math.log(p(b))
+    return {d: STRETCH * sum(w(b) for b in g) / (len(g) + SHORT) if n else 0.0 for d, g in grams.items()}

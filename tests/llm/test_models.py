@@ -134,10 +134,25 @@ def test_quality_keeps_the_clean(spark, mixed_quality):
     good = [got[i].kept for i, _, q in mixed_quality if q]
     bad = [got[i].kept for i, _, q in mixed_quality if not q]
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.03
+    drawn, line = {i for i, r in got.items() if r.kept}, {i for i, r in got.items() if r.log_weight >= 0}
+    assert len(drawn) == len(line) and min(got[i].key for i in drawn) >= max((got[i].key for i in set(got) - drawn), default=0)
     expected = quality.brute_force({i: t for i, t, _ in mixed_quality} | {700: None, -1: ""}, {i for i, _, q in mixed_quality if i % 2 and q})
     assert all(abs(got[i].log_weight - w) < 1e-6 for i, w in expected.items() if i in got)
 
 
+def test_quality_draws_in_proportion_to_the_weights(spark):
+    """A long text counts whole; two kinds of documents with weights w1 and w2 are drawn first in the ratio of their exponentials."""
+    rows = [(i, ("alpha beta " if i % 2 else "alpha gamma ") * 40) for i in range(4000)] + [(9999, "alpha beta " * 30000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 2 or i % 20 < 18)) for i, _ in rows], "doc_id long, quality int")
+    out = quality.importance_resample(docs, labels, k=400).collect()
+    weight = {r.doc_id % 2: r.log_weight for r in out if r.doc_id < 4000}
+    share = sum(r.kept for r in out if r.doc_id % 2 and r.doc_id < 4000) / 400
+    expected = 1 / (1 + np.exp(weight[0] - weight[1]))
+    assert abs(share - expected) < 0.08 and 0.5 < expected < 1
+    assert {r.n_grams for r in out if r.doc_id == 9999} == {2 * 60000 - 1}
+
+
 def test_quality_sample_size(spark, mixed_quality):
     docs = spark.createDataFrame([(i, t) for i, t, _ in mixed_quality], SCHEMA)
     labels = spark.createDataFrame([(i, q) for i, _, q in mixed_quality], "doc_id long, quality int")
