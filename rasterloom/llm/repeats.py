@@ -5,10 +5,8 @@ window) is keyed by the smallest hash of the k-symbol strings inside it, so equa
 windows have equal keys wherever they stand.  Consecutive windows of one document
 with the same key form a *piece*, stored as a few numbers.  Sorting the pieces by
 (key, content hash, document, start) in one exchange and streaming over them
-leaves out every key that occurs once, settles pieces that are byte-identical to
-an earlier one, and names the pieces whose windows have to be compared as text.
-The state of that stream is two numbers, one row and its copies in one document,
-whatever the size of a group.
+leaves out every key that occurs once, leads every other copy of a content to its first
+piece, and names the pieces whose windows have to be compared.
 
 Rows equal in doc_id and text count as one document (each row is returned, with
 the same result).  Rows that share a doc_id with different texts are ordered by
@@ -33,9 +31,9 @@ NO_ID = -(1 << 63)
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did (null as the smallest long), tie, body."""
+    """did (null as the smallest long), tie, body, named (whether there is an id)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("tie"), text.alias("body"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("tie"), text.alias("body"), F.col(id_col).isNotNull().alias("named"))
 
 
 #: Bits for a position beside the 40 bits of a hash that order k-symbol strings; longer texts are cut into overlapping slices.
@@ -108,22 +106,22 @@ def pieces(docs: DataFrame, symbols: Callable, length: int, k: int) -> DataFrame
     return docs.mapInArrow(scan, PIECES)
 
 
+SETTLED = "h long, did long, tie int, loc long, open boolean, odid long, otie int, oloc long"
+
+
 def settle(found: DataFrame, across_documents: bool) -> DataFrame:
-    """Streams over the pieces of each key.
-
-    Returns h, did, tie, loc, open: open=false rows are settled (all windows of the
-    piece stand earlier, in an identical piece); open=true rows are the first of
-    their content under a key with several contents, or may repeat a window in
-    themselves: they are to be compared as text.
-    across_documents: a piece is settled only if the identical one stands in a
-    document with a smaller doc_id; under a key with several contents, the other
-    copies in the document of the first one are open as well.
+    """Streams over the pieces of each key; the state is two rows, whatever the size of a group.
+
+    Returns h, did, tie, loc, open, odid, otie, oloc: open=false rows are identical (by both hashes) to the earlier piece
+    odid, otie, oloc, the first of their content; open=true rows are the first of their content under a key with several
+    contents, or may repeat a window in themselves: their windows are to be compared.
+    across_documents: only pieces of a document with a smaller doc_id count as earlier.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None  # key, content, document of the first piece with that content
+        last: tuple | None = None  # h, ch, did, tie, loc of the first piece of the content before this batch
         before: tuple | None = None  # the row before this batch
-        held: list[tuple] | None = None  # the first piece of a key that has had one content so far, and its copies in that document
+        held: tuple | None = None  # the first piece of a key that has had one content so far and has not been opened
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -143,39 +141,32 @@ def settle(found: DataFrame, across_documents: bool) -> DataFrame:
                 new_h[0], new_c[0] = False, last[1] != ch[0]
             rep = np.flatnonzero(new_c)
             group = np.cumsum(new_c) - 1
-            owner = np.where(group >= 0, did[rep][np.maximum(group, 0)], last[2] if last else 0) if len(rep) else np.full(len(h), last[2])
-            gone = ~new_c
-            if across_documents:
-                gone &= did > owner
+
+            def first(column: np.ndarray, k: int) -> np.ndarray:
+                held_over = column[0] if last is None else last[k]  # noqa: B023
+                return np.where(group >= 0, column[rep][np.maximum(group, 0)], held_over) if len(rep) else np.full(len(column), held_over)  # noqa: B023
+
+            owner = first(did, 2), first(tie, 3), first(loc, 4)
             opened = new_c & ~new_h
             opened[rep[:-1][~new_h[rep[1:]]]] = True
-            again = ~new_c & (did == owner) & across_documents
-            if len(rep):
-                opened |= again & (group >= 0) & opened[rep][np.maximum(group, 0)]
-            lead = again & (group < 0)
-            if held is None:
-                opened |= lead
-            elif lead.any():
-                held.append(tuple(x[lead] for x in (h, did, tie, loc)))
-            out = []
-            if held is not None and len(rep):
-                if not new_h[rep[0]]:
-                    out += [(*x, np.full(len(x[0]), True)) for x in held]
-                held = None
             if not across_documents:
                 opened |= new_c & own
-            if len(rep) and new_h[rep[-1]] and not opened[rep[-1]]:
-                mine = again & (group == len(rep) - 1)
-                mine[rep[-1]] = True
-                held = [tuple(x[mine] for x in (h, did, tie, loc))]
-            out += [(h[mask], did[mask], tie[mask], loc[mask], np.full(int(mask.sum()), flag)) for mask, flag in ((gone, False), (opened, True)) if mask.any()]
-            last = (int(h[-1]), int(ch[-1]), int(owner[-1]))
+            copies = ~new_c & (did > owner[0]) if across_documents else ~new_c
+            out = [(h[copies], did[copies], tie[copies], loc[copies], np.zeros(int(copies.sum()), dtype=bool), *(x[copies] for x in owner))]
+            out.append((h[opened], did[opened], tie[opened], loc[opened], np.ones(int(opened.sum()), dtype=bool), did[opened], tie[opened], loc[opened]))
+            if len(rep):
+                if held is not None and not new_h[rep[0]]:
+                    out.append(tuple(np.array([x]) for x in (held[0], *held[2:], True, *held[2:])))
+                at = rep[-1]
+                last = tuple(x[at] for x in (h, ch, did, tie, loc))
+                held = last if new_h[at] and not opened[at] else None
+            out = [x for x in out if len(x[0])]
             if out:
-                h, did, tie, loc, flag = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(did.astype(np.int64)), pa.array(tie.astype(np.int32)), pa.array(loc.astype(np.int64)), pa.array(flag)], ["h", "did", "tie", "loc", "open"])
+                types = (np.int64, np.int64, np.int32, np.int64, bool, np.int64, np.int32, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["h", "did", "tie", "loc", "open", "odid", "otie", "oloc"])
 
     dealt = found.repartition("h").sortWithinPartitions("h", "ch", "did", "tie", "loc")
-    return dealt.mapInArrow(stream, "h long, did long, tie int, loc long, open boolean")
+    return dealt.mapInArrow(stream, SETTLED)
 
 
 def per_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -189,10 +180,14 @@ def open_texts(docs: DataFrame, settled: DataFrame, cut: Callable[[bytes, list[t
     wanted = per_document(settled.filter("open"), "wanted", "h", "loc")
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = core.byte_list(batch.column(2))
             for i, (did, tie, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if last == (did, tie):  # a row that repeats doc_id and text
+                    continue
+                last = did, tie
                 wanted = {(w["h"], w["loc"]) for w in wanted}
                 for (h, loc), piece in zip(wanted, cut(texts[i], [(loc >> SHIFT, loc & LOW) for _, loc in wanted]), strict=True):
                     for column, value in zip(out, (h, did, tie, loc, piece), strict=True):
@@ -203,37 +198,29 @@ def open_texts(docs: DataFrame, settled: DataFrame, cut: Callable[[bytes, list[t
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, TEXT_TYPES, strict=True)], TEXT_NAMES)
 
-    joined = docs.repartition("did", "tie").join(wanted, ["did", "tie"]).select("did", "tie", "body", "wanted")
+    joined = docs.select("did", "tie", "body").repartition("did", "tie").join(wanted, ["did", "tie"]).select("did", "tie", "body", "wanted").sortWithinPartitions("did", "tie")
     return joined.mapInArrow(cutting, "h long, did long, tie int, loc long, piece binary")
 
 
-TEXT_NAMES = ["h", "did", "tie", "loc", "piece"]
-TEXT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+#: Bytes of documents whose passages are held at once.
+PART_BYTES = 2 << 20
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[list]]:
-    """Columns of rows sorted by their first four columns, each once, cut between groups of the first once limit bytes are there."""
-    held: list[list] = [[], [], [], [], []]
-    size, last = 0, None
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if row[:4] == last:  # the piece of a row that repeats doc_id and text
-                continue
-            last = row[:4]
-            if size >= limit and row[0] != held[0][-1]:
-                yield held
-                held, size = [[], [], [], [], []], 0
-            for column, value in zip(held, row, strict=True):
-                column.append(value)
-            size += len(row[4])
-    if held[0]:
-        yield held
+def part_of(did: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(did, F.lit(3)), F.lit(parts)).cast("int")
+
+
+def count_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    return -(-(docs.agg(F.sum(F.octet_length("body"))).first()[0] or 1) // part_bytes)
+
+
+TEXT_NAMES = ["h", "did", "tie", "loc", "piece"]
+TEXT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Documents with the list of their settled locs (null: none)."""
-    return docs.repartition("did", "tie").join(per_document(spans.select("did", "tie", "loc"), "locs", "loc"), ["did", "tie"], "left").select("did", "tie", "body", "locs")
+    return docs.repartition("did", "tie").join(per_document(spans.select("did", "tie", "loc"), "locs", "loc"), ["did", "tie"], "left").select("did", "tie", "body", "named", "locs")
 
 
 def covered(n: int, locs: list[int] | None, length: int) -> np.ndarray:

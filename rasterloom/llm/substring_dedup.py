@@ -1,11 +1,15 @@
 """Word-level substring dedup with sharded Aho-Corasick automata (operator 10).
 
-``repeats`` confirms which passages recur: it keys every run of L words, drops keys
-that occur once and settles pieces identical to one of an earlier document.  The
-first piece of each content under a recurring key is a passage; the passages of a
-batch of whole keys (a shard) are compiled into one automaton over word numbers,
-each pattern carrying the smallest document that holds it, and the texts of the
-shard are streamed through it to find every other place of every passage.
+``repeats`` confirms which passages recur: it keys every run of L words, drops keys that
+occur once, and leads copies of a piece to the first one of their content.  Where a key
+has several contents, the windows of their first pieces are matched by two hashes.  So
+every document gets to know the pieces of earlier documents that it may repeat.
+
+Documents are dealt into parts, and each part's passages (the texts of those pieces) are
+compiled into an automaton of its own over word numbers.  Every document is streamed
+through the automaton of its part.  A passage is filed under L // 2 words of it that all
+its windows share; where they occur, the match is grown word by word to both sides, and
+what reaches L words is a recurring run.  Nothing is cut on the word of a hash.
 """
 
 from __future__ import annotations
@@ -17,16 +21,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import core, repeats
 
-#: Bytes of text whose passages make one automaton (about 150 bytes of it for each byte of text).
-SHARD_BYTES = 1 << 18
-
 
 def words_of(text: bytes) -> list[bytes]:
-    words = core.Words([text], core.SPACE_WORDS, core.SAME, hashed=False)
-    return [text[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+    return text.split()  # bytes split at ASCII white space only: \x20 and \x09 to \x0D
 
 
 def cut_words(length: int):
@@ -37,84 +38,162 @@ def cut_words(length: int):
     return cut
 
 
-def recurring(held: list[list], length: int) -> tuple[list[int], list[int], list[int]]:
-    """did, tie, loc of the runs of windows that also stand in a document with a smaller doc_id."""
-    _, dids, ties, locs, texts = held
-    order = sorted(range(len(texts)), key=lambda i: (dids[i], ties[i], locs[i]))
-    numbers: dict[bytes, int] = {}
-    sequences = [tuple(numbers.setdefault(w, len(numbers)) for w in texts[i].split(b" ")) for i in order]
-    passages = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for i, sequence in zip(order, sequences, strict=True):
-        for s in range(len(sequence) - length + 1):
-            window = sequence[s : s + length]
-            if window not in passages:
-                passages.add_word(window, dids[i])
-    passages.make_automaton()
-    did, tie, loc = [], [], []
-    for i, sequence in zip(order, sequences, strict=True):
-        run = None
-        base = locs[i] >> repeats.SHIFT
-        for end, owner in passages.iter(sequence):
-            if owner < dids[i]:
-                s = end - length + 1
-                if run is not None and s == run[1] + 1:
-                    run[1] = s
-                else:
-                    if run is not None:
-                        did.append(dids[i]), tie.append(ties[i]), loc.append((base + run[0] << repeats.SHIFT) | (run[1] - run[0] + 1))
-                    run = [s, s]
-        if run is not None:
-            did.append(dids[i]), tie.append(ties[i]), loc.append((base + run[0] << repeats.SHIFT) | (run[1] - run[0] + 1))
-    return did, tie, loc
-
-
-def repeated_phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 25) -> DataFrame:
+def _window_claims(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
+    """did, odid, otie, oloc: documents with a window of an open piece, and the first open piece with that window, of a
+    document with a smaller doc_id."""
+    wanted = repeats.per_document(settled.filter("open"), "wanted", "loc")
+
+    def hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = core.byte_list(batch.column(2)), batch.column(3).to_pylist()
+            dids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in core.chunks(texts):
+                words = core.Words(texts[a:b], core.SPACE_WORDS, core.SAME)
+                one = core.rolling(words.hash, length)
+                two = core.rolling(core.mix64(words.hash + core.U64(1)), length)
+                for i in range(a, b):
+                    if i and (dids[i], ties[i]) == (dids[i - 1], ties[i - 1]):  # a row that repeats doc_id and text
+                        continue
+                    locs = np.unique(np.array(wanted[i], dtype=np.int64))
+                    n = locs & repeats.LOW
+                    at = np.repeat((locs >> repeats.SHIFT) - (np.cumsum(n) - n), n) + np.arange(int(n.sum())) + words.first[i - a]
+                    size = len(at)
+                    yield pa.RecordBatch.from_arrays([core.as_long(one[at]), core.as_long(two[at]), pa.array(np.full(size, dids[i])), pa.array(np.full(size, ties[i])), pa.array(np.repeat(locs, n))], ["w1", "w2", "did", "tie", "loc"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # window and first piece before this batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w1, w2, *piece = (batch.column(i).to_numpy() for i in range(5))
+            new = np.ones(len(w1), dtype=bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            if last is not None and last[0] == w1[0] and last[1] == w2[0]:
+                new[0] = False
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            owner = [np.where(group >= 0, x[start][np.maximum(group, 0)], 0) if len(start) else np.zeros(len(x), dtype=x.dtype) for x in piece]
+            if last is not None:
+                for x, v in zip(owner, last[2:], strict=True):
+                    x[group < 0] = v
+            later = piece[0] > owner[0]
+            last = (w1[-1], w2[-1], *(x[-1] for x in owner))
+            if later.any():
+                claims = np.unique(np.stack([piece[0][later], *(x[later].astype(np.int64) for x in owner)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(claims[0]), pa.array(claims[1]), pa.array(claims[2].astype(np.int32)), pa.array(claims[3])], ["did", "odid", "otie", "oloc"])
+
+    opened = docs.select("did", "tie", "body").repartition("did", "tie").join(wanted, ["did", "tie"]).select("did", "tie", "body", "wanted").sortWithinPartitions("did", "tie")
+    windows = opened.mapInArrow(hashing, "w1 long, w2 long, did long, tie int, loc long")
+    return windows.repartition("w1").sortWithinPartitions("w1", "w2", "did", "tie", "loc").mapInArrow(stream, "did long, odid long, otie int, oloc long")
+
+
+class Passages:
+    """An automaton of the passages of a part, over numbered words."""
+
+    def __init__(self, owners: list[int], texts: list[bytes], length: int):
+        self.length, self.probe = length, max(1, length // 2)
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        filed: dict[tuple[int, ...], list[tuple[tuple[int, ...], int, int]]] = {}
+        seen: dict[tuple[int, ...], int] = {}
+        for owner, text in zip(owners, texts, strict=True):
+            words = tuple(number(w, len(self.vocabulary) + 1) for w in text.split(b" "))
+            seen[words] = min(owner, seen.get(words, owner))
+        reach = length - self.probe + 1  # windows in a row that share a probe
+        for words, owner in seen.items():
+            last = len(words) - length
+            for a in range(0, last + 1, reach):
+                at = min(a + reach - 1, last)  # in all windows that start from a to here
+                filed.setdefault(words[at : at + self.probe], []).append((words, at, owner))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for probe, passages in filed.items():
+            self.automaton.add_word(probe, passages)
+        if filed:
+            self.automaton.make_automaton()
+        self.empty = not filed
+
+    def covered(self, did: int, words: list[bytes]) -> np.ndarray:
+        """Mask of the words of a document inside a run of ``length`` words of a passage of a smaller doc_id."""
+        depth = np.zeros(len(words) + 1, dtype=np.int32)
+        if self.empty or len(words) < self.length:
+            return depth[:-1] > 0
+        sequence = tuple(map(self.vocabulary.get, words, (0,) * len(words)))
+        for end, passages in self.automaton.iter(sequence):
+            for passage, at, owner in passages:
+                if owner >= did:
+                    continue
+                start = end - self.probe + 1
+                low = start - at
+                if low >= 0 and sequence[low : low + len(passage)] == passage:
+                    depth[low] += 1
+                    depth[low + len(passage)] -= 1
+                    continue
+                low, high, a, b = start, end + 1, at, at + self.probe
+                while low and a and sequence[low - 1] == passage[a - 1]:
+                    low, a = low - 1, a - 1
+                while high < len(sequence) and b < len(passage) and sequence[high] == passage[b]:
+                    high, b = high + 1, b + 1
+                if high - low >= self.length:
+                    depth[low] += 1
+                    depth[high] -= 1
+        return np.cumsum(depth[:-1]) > 0
+
+
+def repeated_phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 25, part_bytes: int = repeats.PART_BYTES) -> DataFrame:
     """Cuts every word covered by a run of ``length`` words that also stands in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept (the remaining words joined by one space).  Words are runs of anything but
-    ASCII white space.  Texts under ``length`` words and null or empty texts lose nothing; an empty table gives no rows;
-    other columns are not read.  Documents with the same doc_id (or a null one each) remove nothing from each other; see
-    ``repeats`` for the rest.
+    ASCII white space.  Texts under ``length`` words and null or empty texts lose nothing; texts of any length are streamed
+    whole; an empty table gives no rows; other columns are not read.  Documents with the same doc_id (or a null one each)
+    remove nothing from each other; see ``repeats`` for the rest.
     """
     anchor = min(anchor, length)
     rows = repeats.prepared(docs, id_col, text_col)
     settled = core.checkpointed(repeats.settle(repeats.pieces(rows, repeats.word_symbols, length, anchor), across_documents=True))
-
-    def locating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in repeats.whole_groups(batches, SHARD_BYTES):
-            did, tie, loc = recurring(held, length)
-            if did:
-                yield pa.RecordBatch.from_arrays([pa.array(did, type=pa.int64()), pa.array(tie, type=pa.int32()), pa.array(loc, type=pa.int64())], ["did", "tie", "loc"])
-
-    opened = repeats.open_texts(rows, settled, cut_words(length)).repartition("h").sortWithinPartitions("h", "did", "tie", "loc")
-    located = opened.mapInArrow(locating, "did long, tie int, loc long")
-    spans = settled.filter("not open").select("did", "tie", "loc").unionByName(located)
-
-    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = repeats.count_parts(rows, part_bytes)
+    claims = settled.filter("not open").select("did", "odid", "otie", "oloc").unionByName(_window_claims(rows, settled, length))
+    claims = core.checkpointed(claims.select(repeats.part_of(F.col("did"), parts).alias("part"), "odid", "otie", "oloc").distinct())
+    core.discard(settled)
+    owners = claims.select(F.lit(0).cast("long").alias("h"), F.col("odid").alias("did"), F.col("otie").alias("tie"), F.col("oloc").alias("loc"), F.lit(True).alias("open")).distinct()
+    texts = repeats.open_texts(rows, owners, cut_words(length)).select(F.col("did").alias("odid"), F.col("tie").alias("otie"), F.col("loc").alias("oloc"), "piece")
+    passages = claims.join(texts, ["odid", "otie", "oloc"]).select("part", F.lit(0).alias("kind"), F.col("odid").alias("did"), F.lit(True).alias("named"), "piece")
+    whole = rows.select(repeats.part_of(F.col("did"), parts).alias("part"), F.lit(1).alias("kind"), "did", "named", F.col("body").cast("binary").alias("piece"))
+    dealt = passages.unionByName(whole).repartition("part").sortWithinPartitions("part", "kind")
+
+    def streaming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: int | None = None
+        owners: list[int] = []
+        texts: list[bytes] = []
+        automaton: Passages | None = None
         for batch in batches:
-            texts, locs = core.byte_list(batch.column(2)), batch.column(3).to_pylist()
-            total, removed, kept = [], [], []
-            for a, b in core.chunks(texts):
-                words = core.Words(texts[a:b], core.SPACE_WORDS, core.SAME, hashed=False)
-                for d in range(b - a):
-                    lo, hi = words.first[d], words.first[d + 1]
-                    n = int(hi - lo)
-                    mask = repeats.covered(n, locs[a + d], length)
-                    start, end = words.start[lo:hi][~mask].tolist(), words.end[lo:hi][~mask].tolist()
-                    total.append(n)
-                    removed.append(n - len(start))
-                    buf = words.buf.data
-                    kept.append(b" ".join(buf[x:y] for x, y in zip(start, end, strict=True)))
-            did = pa.array([None if x == repeats.NO_ID else x for x in batch.column(0).to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([did, pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(kept, type=pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return repeats.with_spans(rows, spans).mapInArrow(cutting, "doc_id long, n_words long, n_removed long, kept string")
+            out: tuple[list, ...] = ([], [], [], [])
+            for p, kind, did, named, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    part, owners, texts, automaton = p, [], [], None
+                if kind == 0:
+                    owners.append(did)
+                    texts.append(text)
+                    continue
+                if automaton is None:
+                    automaton = Passages(owners, texts, length)
+                    owners, texts = [], []
+                words = words_of(text)
+                mask = automaton.covered(did, words)
+                kept = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone] if mask.any() else words
+                for column, value in zip(out, (did if named else None, len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+                    column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, type=pa.int64()) for x in out[:3]), pa.array(out[3], type=pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return dealt.mapInArrow(streaming, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def brute_force(texts: dict[int, bytes], length: int = 50) -> dict[int, tuple[int, int, str]]:
     """The same by looking every window up (small inputs)."""
+    import re
+
     first: dict[tuple, int] = {}
-    split = {did: words_of(t) for did, t in texts.items()}
+    split = {did: re.findall(rb"[^\x20\x09-\x0d]+", t) for did, t in texts.items()}
     for did in sorted(split):
         w = split[did]
         for s in range(len(w) - length + 1):

@@ -1,12 +1,15 @@
 """Byte-level substring dedup from merged Burrows-Wheeler transforms (operator 1).
 
 The pieces of text that could hold a repeated run of L bytes (``repeats``) are
-dealt by key; each batch of whole keys is split into shards, the transform of every
-shard is built on its own, and the shard transforms are merged by iterative
-interleave refinement: step by step, the entries that share the first h symbols
-are split by the two symbols that precede them, following the shards' LF mappings,
-until h = L.  Blocks that still hold several entries are the repeated intervals
-(common prefix of L at least); the suffixes are never sorted again.
+dealt by key into buckets and by document into the shards of a bucket.  A task builds
+the transform of a shard and hands it on; another task merges the transforms of a
+bucket by iterative interleave refinement: step by step, the entries that share the
+first h symbols are split by the two symbols that precede them, following the
+shards' LF mappings, until h = L.  Blocks that still hold several entries are the
+repeated intervals (common prefix of L at least); the merging task has neither the
+texts nor the suffix arrays, and no suffix is sorted again.  A piece stands for its
+byte-identical copies, which are removed from the second on: as entries of one string
+they could never part.
 
 Only entries that end a window are refined (an entry reaches a window start after
 exactly L symbols), and an entry alone in its block leaves at once.
@@ -20,10 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import core, repeats
 
-BATCH_BYTES = 1 << 20
+#: Bytes of pieces whose shards are merged together.
+BUCKET_BYTES = 1 << 20
 SHARDS = 4
 
 
@@ -90,91 +95,151 @@ def lf_mapping(transform: np.ndarray) -> np.ndarray:
     return lf
 
 
-def merged_intervals(shards: list[np.ndarray], ends: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+class Shard:
+    """The transform of some pieces, the rows where a window ends, and the window of each: the piece's number and the offset in it."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: sentinel 0, symbols 1 to 255
+        inside = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        sa, self.transform = shard_transform(text)
+        rows = np.flatnonzero(inside[sa] >= length)
+        self.rows = rows.astype(np.int32)
+        self.piece = np.repeat(np.arange(len(texts), dtype=np.int32), size)[sa[rows]]
+        self.offset = (inside[sa[rows]] - length).astype(np.int32)
+
+
+def merged_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges the shards' transforms and returns the repeated intervals of depth length.
 
-    shards: texts of sentinel-ended strings; ends: text positions where a window ends (one past its last symbol).
-    Returns (global text position of the window start, block number) of all entries in blocks of two or more.
+    Returns (window, block) of all windows in blocks of two or more; windows are numbered through the shards in the order of
+    their rows.
     """
-    transforms, lfs, entries, places, base = [], [], [], [], 0
-    for text, end in zip(shards, ends, strict=True):
-        sa, transform = shard_transform(text)
-        row = np.empty(len(sa), dtype=np.int32)
-        row[sa] = np.arange(len(sa), dtype=np.int32)
-        transforms.append(transform)
-        lfs.append(lf_mapping(transform) + np.int32(base))
-        entries.append(np.sort(row[end]) + np.int32(base))
-        places.append(sa + base)
-        base += len(sa)
-    transform, lf, place = np.concatenate(transforms), np.concatenate(lfs), np.concatenate(places)
+    lfs, entries, base = [], [], 0
+    for shard in shards:
+        lfs.append(lf_mapping(shard.transform) + np.int32(base))
+        entries.append(shard.rows + np.int32(base))
+        base += len(shard.transform)
+    transform, lf = np.concatenate([s.transform for s in shards]), np.concatenate(lfs)
     active = np.concatenate(entries).astype(np.int32)
+    window = np.arange(len(active), dtype=np.int32)
     block = np.zeros(len(active), dtype=np.int32)
 
-    def refine(active: np.ndarray, block: np.ndarray, key: np.ndarray, target: np.ndarray, dead: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def refine(key: np.ndarray, target: np.ndarray, dead: np.ndarray) -> None:
+        nonlocal active, window, block
+        alive = ~dead[active]
+        if not alive.all():
+            active, window, block = active[alive], window[alive], block[alive]
         own = key[active]
-        if dead is not None:
-            alive = ~dead[active]
-            if not alive.all():
-                active, block, own = active[alive], block[alive], own[alive]
         by = np.argsort(own, kind="stable")
-        own, block, active = own[by], block[by], target[active[by]]
+        own, block, window, active = own[by], block[by], window[by], target[active[by]]
         edge = np.ones(len(own) + 1, dtype=bool)
         if len(own):
             edge[1:-1] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
         keep = ~(edge[:-1] & edge[1:])
-        return active[keep], np.cumsum(edge[:-1], dtype=np.int32)[keep]
+        block = np.cumsum(edge[:-1], dtype=np.int32)[keep]
+        active, window = active[keep], window[keep]
 
     depth = 0
     if length % 2:
-        active, block = refine(active, block, transform, lf, transform == 0)
+        refine(transform, lf, transform == 0)
         depth = 1
     pair = (transform[lf].astype(np.uint16) << np.uint16(8)) | transform
     dead = (pair & np.uint16(255) == 0) | (pair >> np.uint16(8) == 0)
     lf = lf[lf]
     while depth < length and len(active):
-        active, block = refine(active, block, pair, lf, dead)
+        refine(pair, lf, dead)
         depth += 2
-    return place[active], block
-
-
-def repeated_windows(held: list[list], length: int) -> tuple[list[int], list[int], list[int]]:
-    """did, tie, loc of the runs of windows in the pieces that also start earlier."""
-    _, dids, ties, locs, texts = held
-    n = len(texts)
-    order = sorted(range(n), key=lambda i: (dids[i], ties[i], locs[i]))
-    size = np.array([len(t) + 1 for t in texts])
-    share = -(-n // SHARDS)
-    shards, ends, owner, offset = [], [], [], []
-    for a in range(0, n, share):
-        ids = np.arange(a, min(a + share, n))
-        raw = np.frombuffer(b"\xff".join(texts[i] for i in ids) + b"\xff", dtype=np.uint8)
-        text = raw + np.uint8(1)  # UTF-8 has no 0xFF: sentinel 0, symbols 1 to 255
-        at = np.cumsum(size[ids]) - size[ids]
-        inside = np.arange(len(text)) - np.repeat(at, size[ids])
-        shards.append(text)
-        ends.append(np.flatnonzero(inside >= length))
-        owner.append(np.repeat(ids, size[ids]))
-        offset.append(inside)
-    place, block = merged_intervals(shards, ends, length)
-    if not len(place):
-        return [], [], []
-    owner, offset = np.concatenate(owner)[place], np.concatenate(offset)[place]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    start = (np.array(locs, dtype=np.int64) >> repeats.SHIFT)[owner] + offset
-    by = np.lexsort((start, rank[owner], block))
-    block, owner, start = block[by], owner[by], start[by]
+    return window, block
+
+
+def later_runs(shards: list[Shard], pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """did, tie, loc of the runs of windows that also start earlier; pieces: did, tie and loc of each shard's pieces."""
+    window, block = merged_intervals(shards, length)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(window):
+        return none, none, none
+    did, tie, loc = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    first = np.cumsum([0, *(len(p[0]) for p in pieces[:-1])])
+    piece = np.concatenate([s.piece + f for s, f in zip(shards, first.tolist(), strict=True)])[window]
+    start = (loc >> repeats.SHIFT)[piece] + np.concatenate([s.offset for s in shards])[window]
+    order = np.lexsort((loc, tie, did))
+    rank = np.empty(len(did), dtype=np.int64)
+    rank[order] = np.arange(len(did))
+    by = np.lexsort((start, tie[piece], did[piece], block))
+    block, piece, start = block[by], piece[by], start[by]
     later = np.zeros(len(by), dtype=bool)
     later[1:] = block[1:] == block[:-1]
-    owner, start = owner[later], start[later]
-    by = np.lexsort((start, owner))
-    owner, start = owner[by], start[by]
+    piece, start = piece[later], start[later]
+    by = np.lexsort((start, rank[piece]))
+    piece, start = piece[by], start[by]
     new = np.ones(len(by), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(by)) - 1
     lo = start[at]
-    return [dids[i] for i in owner[at]], [ties[i] for i in owner[at]], ((lo << repeats.SHIFT) | (start[last] - lo + 1)).tolist()
+    return did[piece[at]], tie[piece[at]], (lo << repeats.SHIFT) | (start[last] - lo + 1)
+
+
+SHARD = "bucket int, shard int, dids array<long>, ties array<int>, locs array<long>, transform binary, rows binary, pieces binary, offsets binary"
+
+
+def shard_transforms(opened: DataFrame, buckets: int, length: int) -> DataFrame:
+    """One row per bucket and shard: its pieces, transform and windows.  opened: h, did, tie, loc, piece."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[int, int] | None = None
+        held: list[list] = [[], [], [], []]
+
+        def close() -> pa.RecordBatch:
+            s = Shard(held[3], length)
+            raw = [x.tobytes() for x in (s.transform, s.rows, s.piece, s.offset)]
+            columns = [[key[0]], [key[1]], *([x] for x in held[:3]), *([x] for x in raw)]
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "shard", "dids", "ties", "locs", "transform", "rows", "pieces", "offsets"])
+
+        for batch in batches:
+            for bucket, shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (bucket, shard):
+                    if key is not None:
+                        yield close()
+                    key, held = (bucket, shard), [[], [], [], []]
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+        if key is not None:
+            yield close()
+
+    dealt = opened.select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("did", "tie"), F.lit(SHARDS)).cast("int").alias("shard"), "did", "tie", "loc", "piece")
+    return dealt.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard").mapInArrow(build, SHARD)
+
+
+def merge_shards(shards: DataFrame, length: int) -> DataFrame:
+    """did, tie, loc of the runs of windows that also start earlier, from the shards of each bucket."""
+
+    def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket: int | None = None
+        held: list[Shard] = []
+        pieces: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            did, tie, loc = later_runs(held, pieces, length)
+            return pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(tie.astype(np.int32)), pa.array(loc.astype(np.int64))], ["did", "tie", "loc"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if row.column(0)[0].as_py() != bucket:
+                    if held:
+                        yield close()
+                    bucket, held, pieces = row.column(0)[0].as_py(), [], []
+                pieces.append(tuple(row.column(k).flatten().to_numpy() for k in (2, 3, 4)))
+                shard = Shard.__new__(Shard)
+                shard.transform, shard.rows, shard.piece, shard.offset = (np.frombuffer(row.column(k)[0].as_buffer(), dtype=t) for k, t in zip((5, 6, 7, 8), (np.uint8, np.int32, np.int32, np.int32), strict=True))
+                held.append(shard)
+        if held:
+            yield close()
+
+    return shards.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(merging, "did long, tie int, loc long")
 
 
 def cut_bytes(length: int):
@@ -193,26 +258,21 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = repeats.prepared(docs, id_col, text_col)
     settled = core.checkpointed(repeats.settle(repeats.pieces(rows, repeats.byte_symbols, length, anchor), across_documents=False))
 
-    def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in repeats.whole_groups(batches, BATCH_BYTES):
-            did, tie, loc = repeated_windows(held, length)
-            if did:
-                yield pa.RecordBatch.from_arrays([pa.array(did, type=pa.int64()), pa.array(tie, type=pa.int32()), pa.array(loc, type=pa.int64())], ["did", "tie", "loc"])
-
-    opened = repeats.open_texts(rows, settled, cut_bytes(length)).repartition("h").sortWithinPartitions("h", "did", "tie", "loc")
-    merged = opened.mapInArrow(merging, "did long, tie int, loc long")
+    opened = settled.filter("open")
+    size = opened.agg(F.sum(F.col("loc").bitwiseAND(F.lit(repeats.LOW)) + F.lit(length))).first()[0] or 0
+    merged = merge_shards(shard_transforms(repeats.open_texts(rows, settled, cut_bytes(length)), -(-size // BUCKET_BYTES) or 1, length), length)
     spans = settled.filter("not open").select("did", "tie", "loc").unionByName(merged)
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
-            for text, locs in zip(core.byte_list(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            for text, locs in zip(core.byte_list(batch.column(2)), batch.column(4).to_pylist(), strict=True):
                 mask = repeats.covered(len(text), locs, length)
                 sizes.append(len(text))
                 removed.append(int(mask.sum()))
                 runs.append(int((np.diff(mask.view(np.int8), prepend=np.int8(0)) == 1).sum()))
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~mask].tobytes() if locs else text)
-            did = pa.array([None if x == repeats.NO_ID else x for x in batch.column(0).to_pylist()], type=pa.int64())
+            did = pa.array([x if named else None for x, named in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([did, pa.array(sizes, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(runs, type=pa.int64()), pa.array(kept, type=pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return repeats.with_spans(rows, spans).mapInArrow(cutting, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

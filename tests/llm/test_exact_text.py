@@ -44,6 +44,32 @@ def test_substring_dedup_repeats_inside_the_later_document(spark, batch):
     assert got == substring_dedup.brute_force({i: t.encode() for i, t in texts.items()})
 
 
+def test_smallest_id_is_not_null(spark):
+    """A doc_id of -2^63 comes back as it is, beside a null one."""
+    same = "alpha beta gamma delta " * 30
+    df = spark.createDataFrame([(-(2**63), same, ""), (None, "other", ""), (5, same, "")], SCHEMA)
+    for out in (suffix_dedup.suffix_array_dedup(df), substring_dedup.repeated_phrase_dedup(df)):
+        assert {r.doc_id: r.n_removed > 100 for r in out.collect() if r.doc_id != -(2**63)} == {None: False, 5: True}
+        assert {r.doc_id for r in out.collect()} == {-(2**63), None, 5}
+
+
+@pytest.mark.parametrize("part_bytes", [300, 20_000, 1 << 20])
+def test_automata_of_any_part_size(spark, documents, corpus, part_bytes):
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.repeated_phrase_dedup(documents, length=20, anchor=8, part_bytes=part_bytes).collect()}
+    assert got == substring_dedup.brute_force({i: (t or "").encode() for i, t in corpus.items()}, 20)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=30), min_size=1, max_size=6), st.integers(2, 7))
+def test_passages_locate_every_occurrence(docs, length):
+    """Whole documents as the passages of the documents behind them."""
+    texts = {i: " ".join(d).encode() for i, d in enumerate(docs)}
+    owners = [i for i in texts if len(docs[i]) >= length]
+    automaton = substring_dedup.Passages(owners, [texts[i] for i in owners], length)
+    expected = substring_dedup.brute_force(texts, length)
+    assert {i: int(automaton.covered(i, t.split()).sum()) for i, t in texts.items()} == {i: x[1] for i, x in expected.items()}
+
+
 def test_rows_that_repeat_id_and_text_are_one_document(spark, corpus):
     """Two identical rows and no third copy lose nothing; with other documents they lose what one row does."""
     texts = {i: corpus[i] for i in (0, 3, *range(60, 74), 80, 81, 95, 99)} | {200: "one two three four five six seven eight nine ten " * 9, 201: " ".join(f"q{i}" for i in range(150))}
@@ -60,11 +86,14 @@ def test_rows_that_repeat_id_and_text_are_one_document(spark, corpus):
 def test_merged_intervals_find_every_repeat(texts, length):
     raw = [t.encode() for t in texts]
     n = len(raw)
-    did, _, loc = suffix_dedup.repeated_windows([[0] * n, list(range(n)), [0] * n, [1] * n, raw], length)
     from rasterloom.llm import repeats
 
+    parts = [[i for i in range(n) if i % 3 == k] for k in range(3) if k < n]
+    shards = [suffix_dedup.Shard([raw[i] for i in part], length) for part in parts]
+    pieces = [(np.array(part), np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=np.int64)) for part in parts]
+    did, _, loc = suffix_dedup.later_runs(shards, pieces, length)
     found: dict[int, list[int]] = {}
-    for d, x in zip(did, loc):
+    for d, x in zip(did.tolist(), loc.tolist()):
         found.setdefault(d, []).append(x)
     expected = suffix_dedup.brute_force(dict(enumerate(raw)), length)
     for i, t in enumerate(raw):
