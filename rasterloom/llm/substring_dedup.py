@@ -8,8 +8,9 @@ every document gets to know the pieces of earlier documents that it may repeat.
 Documents are dealt into parts, and each part's passages (the texts of those pieces) are
 compiled into an automaton of its own over word numbers.  Every document is streamed
 through the automaton of its part.  A passage is filed under L // 2 words of it that all
-its windows share; where they occur, the match is grown word by word to both sides, and
-what reaches L words is a recurring run.  Nothing is cut on the word of a hash.
+its windows share; around each place where they occur, the windows of the document are
+looked up among those of the passages and compared word by word.  Nothing is cut on the
+word of a hash, and a window is compared once, however often its words repeat.
 """
 
 from __future__ import annotations
@@ -88,55 +89,65 @@ def _window_claims(docs: DataFrame, settled: DataFrame, length: int) -> DataFram
 
 
 class Passages:
-    """An automaton of the passages of a part, over numbered words."""
+    """An automaton of the passages of a part, over numbered words, and their windows: the place and smallest doc_id of each."""
 
     def __init__(self, owners: list[int], texts: list[bytes], length: int):
         self.length, self.probe = length, max(1, length // 2)
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        filed: dict[tuple[int, ...], list[tuple[tuple[int, ...], int, int]]] = {}
         seen: dict[tuple[int, ...], int] = {}
         for owner, text in zip(owners, texts, strict=True):
             words = tuple(number(w, len(self.vocabulary) + 1) for w in text.split(b" "))
             seen[words] = min(owner, seen.get(words, owner))
         reach = length - self.probe + 1  # windows in a row that share a probe
-        for words, owner in seen.items():
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for words in seen:
             last = len(words) - length
             for a in range(0, last + 1, reach):
                 at = min(a + reach - 1, last)  # in all windows that start from a to here
-                filed.setdefault(words[at : at + self.probe], []).append((words, at, owner))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for probe, passages in filed.items():
-            self.automaton.add_word(probe, passages)
-        if filed:
-            self.automaton.make_automaton()
-        self.empty = not filed
+                self.automaton.add_word(words[at : at + self.probe], 1)
+        self.empty = not seen
+        if self.empty:
+            return
+        self.automaton.make_automaton()
+        sizes = np.array([len(w) for w in seen])
+        self.words = np.fromiter((x for w in seen for x in w), dtype=np.int64, count=int(sizes.sum()))
+        n = sizes - length + 1
+        self.at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.owner = np.repeat(np.array(list(seen.values()), dtype=np.int64), n)
+        self.hash = self._hashes(self.words)[self.at]
+        by = np.lexsort((self.owner, self.hash))
+        by = by[np.concatenate(([True], self.hash[by][1:] != self.hash[by][:-1]))]
+        self.hash, self.at, self.owner = self.hash[by], self.at[by], self.owner[by]
+
+    def _hashes(self, words: np.ndarray) -> np.ndarray:
+        return core.rolling(core.mix64(words.view(core.U64) + core.U64(core._MULT)), self.length)
 
     def covered(self, did: int, words: list[bytes]) -> np.ndarray:
         """Mask of the words of a document inside a run of ``length`` words of a passage of a smaller doc_id."""
-        depth = np.zeros(len(words) + 1, dtype=np.int32)
+        mask = np.zeros(len(words), dtype=bool)
         if self.empty or len(words) < self.length:
-            return depth[:-1] > 0
+            return mask
         sequence = tuple(map(self.vocabulary.get, words, (0,) * len(words)))
-        for end, passages in self.automaton.iter(sequence):
-            for passage, at, owner in passages:
-                if owner >= did:
-                    continue
-                start = end - self.probe + 1
-                low = start - at
-                if low >= 0 and sequence[low : low + len(passage)] == passage:
-                    depth[low] += 1
-                    depth[low + len(passage)] -= 1
-                    continue
-                low, high, a, b = start, end + 1, at, at + self.probe
-                while low and a and sequence[low - 1] == passage[a - 1]:
-                    low, a = low - 1, a - 1
-                while high < len(sequence) and b < len(passage) and sequence[high] == passage[b]:
-                    high, b = high + 1, b + 1
-                if high - low >= self.length:
-                    depth[low] += 1
-                    depth[high] -= 1
-        return np.cumsum(depth[:-1]) > 0
+        end = np.fromiter((e for e, _ in self.automaton.iter(sequence)), dtype=np.int64)
+        if not len(end):
+            return mask
+        # the windows that hold a probe
+        depth = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(depth, np.maximum(end + 1 - self.length, 0), 1)
+        np.add.at(depth, end - self.probe + 2, -1)
+        start = np.flatnonzero(np.cumsum(depth)[: len(words) - self.length + 1] > 0)
+        numbers = np.array(sequence, dtype=np.int64)
+        value = self._hashes(numbers)[start]
+        place = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
+        some = (self.hash[place] == value) & (self.owner[place] < did)
+        start, place = start[some], self.at[place[some]]
+        inside = np.arange(self.length)
+        for a in range(0, len(start), 8192):
+            s, p = start[a : a + 8192], place[a : a + 8192]
+            same = (numbers[s[:, None] + inside] == self.words[p[:, None] + inside]).all(axis=1)
+            mask |= repeats.covered(len(words), ((s[same] << repeats.SHIFT) | 1).tolist(), self.length)
+        return mask
 
 
 def repeated_phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 25, part_bytes: int = repeats.PART_BYTES) -> DataFrame:
