@@ -96,17 +96,18 @@ def lf_mapping(transform: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The transform of some pieces, the rows where a window ends, and the window of each: the piece's number and the offset in it."""
+    """The transform of some pieces, the rows where a window ends, and the window of each, numbered through the pieces."""
 
     def __init__(self, texts: list[bytes], length: int):
         size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: sentinel 0, symbols 1 to 255
         inside = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
         sa, self.transform = shard_transform(text)
-        rows = np.flatnonzero(inside[sa] >= length)
-        self.rows = rows.astype(np.int32)
-        self.piece = np.repeat(np.arange(len(texts), dtype=np.int32), size)[sa[rows]]
-        self.offset = (inside[sa[rows]] - length).astype(np.int32)
+        ends = inside[sa] >= length
+        self.rows = np.flatnonzero(ends).astype(np.int32)
+        n = np.maximum(size - length, 0)
+        first = np.cumsum(n) - n - (np.cumsum(size) - size)  # of a piece's windows, less that of its symbols
+        self.window = (np.repeat(first, size)[sa[ends]] + sa[ends] - length).astype(np.int32)
 
 
 def merged_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +161,11 @@ def later_runs(shards: list[Shard], pieces: list[tuple[np.ndarray, np.ndarray, n
     if not len(window):
         return none, none, none
     did, tie, loc = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    first = np.cumsum([0, *(len(p[0]) for p in pieces[:-1])])
-    piece = np.concatenate([s.piece + f for s, f in zip(shards, first.tolist(), strict=True)])[window]
-    start = (loc >> repeats.SHIFT)[piece] + np.concatenate([s.offset for s in shards])[window]
+    n = loc & repeats.LOW
+    of_shard = np.concatenate(([0], np.cumsum([len(s.window) for s in shards])))[:-1]
+    number = np.concatenate([s.window.astype(np.int64) + f for s, f in zip(shards, of_shard.tolist(), strict=True)])[window]
+    piece = np.searchsorted(np.cumsum(n), number, "right")
+    start = (loc >> repeats.SHIFT)[piece] + number - (np.cumsum(n) - n)[piece]
     order = np.lexsort((loc, tie, did))
     rank = np.empty(len(did), dtype=np.int64)
     rank[order] = np.arange(len(did))
@@ -181,7 +184,7 @@ def later_runs(shards: list[Shard], pieces: list[tuple[np.ndarray, np.ndarray, n
     return did[piece[at]], tie[piece[at]], (lo << repeats.SHIFT) | (start[last] - lo + 1)
 
 
-SHARD = "bucket int, shard int, dids array<long>, ties array<int>, locs array<long>, transform binary, rows binary, pieces binary, offsets binary"
+SHARD = "bucket int, shard int, dids array<long>, ties array<int>, locs array<long>, transform binary, ends binary, windows binary"
 
 
 def shard_transforms(opened: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -193,10 +196,12 @@ def shard_transforms(opened: DataFrame, buckets: int, length: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             s = Shard(held[3], length)
-            raw = [x.tobytes() for x in (s.transform, s.rows, s.piece, s.offset)]
+            ends = np.zeros(len(s.transform), dtype=np.uint8)
+            ends[s.rows] = 1
+            raw = [x.tobytes() for x in (s.transform, np.packbits(ends), s.window)]
             columns = [[key[0]], [key[1]], *([x] for x in held[:3]), *([x] for x in raw)]
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "shard", "dids", "ties", "locs", "transform", "rows", "pieces", "offsets"])
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "shard", "dids", "ties", "locs", "transform", "ends", "windows"])
 
         for batch in batches:
             for bucket, shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -234,7 +239,8 @@ def merge_shards(shards: DataFrame, length: int) -> DataFrame:
                     bucket, held, pieces = row.column(0)[0].as_py(), [], []
                 pieces.append(tuple(row.column(k).flatten().to_numpy() for k in (2, 3, 4)))
                 shard = Shard.__new__(Shard)
-                shard.transform, shard.rows, shard.piece, shard.offset = (np.frombuffer(row.column(k)[0].as_buffer(), dtype=t) for k, t in zip((5, 6, 7, 8), (np.uint8, np.int32, np.int32, np.int32), strict=True))
+                shard.transform, ends, shard.window = (np.frombuffer(row.column(k)[0].as_buffer(), dtype=t) for k, t in ((5, np.uint8), (6, np.uint8), (7, np.int32)))
+                shard.rows = np.flatnonzero(np.unpackbits(ends, count=len(shard.transform))).astype(np.int32)
                 held.append(shard)
         if held:
             yield close()

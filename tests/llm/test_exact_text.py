@@ -90,7 +90,7 @@ def test_merged_intervals_find_every_repeat(texts, length):
 
     parts = [[i for i in range(n) if i % 3 == k] for k in range(3) if k < n]
     shards = [suffix_dedup.Shard([raw[i] for i in part], length) for part in parts]
-    pieces = [(np.array(part), np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=np.int64)) for part in parts]
+    pieces = [(np.array(part), np.zeros(len(part), dtype=np.int64), np.array([max(0, len(raw[i]) - length + 1) for i in part], dtype=np.int64)) for part in parts]
     did, _, loc = suffix_dedup.later_runs(shards, pieces, length)
     found: dict[int, list[int]] = {}
     for d, x in zip(did.tolist(), loc.tolist()):
