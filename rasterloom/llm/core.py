@@ -8,6 +8,8 @@ so memory follows the longest single text and not the Arrow batch.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -199,19 +201,41 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only with a local master and none named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or os.path.join("/tmp/checkpoints", spark.sparkContext.applicationId)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(named or "/tmp/checkpoints", "rasterloom", spark.sparkContext.applicationId)
+
+
+#: Folders of intermediate tables, removed when the driver ends.
+_FOLDERS: set[str] = set()
+
+
+def _remove_folders(spark: SparkSession) -> None:
+    while _FOLDERS:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            _delete(spark, _FOLDERS.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._gateway.jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a written table in the shared folder, so later stages survive the loss of executors.
 
     Compressed columns take a fraction of the disk of a row checkpoint, and the written size lets small tables be joined
-    without an exchange.
+    without an exchange.  The application's tables go when the driver ends, or earlier with ``discard``.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "rasterloom", uuid.uuid4().hex)
+    folder = shared_folder(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove_folders, spark)
+    path = os.path.join(folder, uuid.uuid4().hex)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -222,9 +246,7 @@ def discard(df: DataFrame | None) -> None:
     """Removes the table of a checkpointed result that nothing reads any more."""
     path = getattr(df, "_written_to", None)
     if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        _delete(df.sparkSession, path)
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -139,10 +139,10 @@ def labelled_findings(spark: SparkSession, n: int = 9_600) -> DataFrame:
         (pick("password", "xxxx", "****", "<pass>", "changeme", "yourpass"), F.concat(around, F.lit("mysql://user:")), F.lit("@localhost"), 0),
         (F.concat(word, pick(".", ",", "")), F.concat(around, name, F.lit(": ")), pick(" the", " und"), 0),
     ]
-    kind = F.col("id") % KIND_COUNT
     assert len(cases) == KIND_COUNT
-    choose = lambda i: reduce(lambda rest, k: F.when(kind == k, cases[k][i] if i < 3 else F.lit(cases[k][3])).otherwise(rest), range(len(cases)), F.lit(None))
-    return spark.range(0, n, 1, 1).select("id", choose(0).alias("value"), choose(1).alias("before"), choose(2).alias("after"), choose(3).cast("int").alias("label"))
+    # one small plan per kind: all in one expression outgrow what the JVM compiles
+    parts = [spark.range(k, n, KIND_COUNT, 1).select("id", value.alias("value"), before.alias("before"), after.alias("after"), F.lit(label).alias("label")) for k, (value, before, after, label) in enumerate(cases)]
+    return reduce(DataFrame.unionByName, parts).coalesce(2)
 
 
 #: Kinds of findings that are made.

@@ -384,3 +384,40 @@ def test_mixing_edges(spark):
     assert len(got) == 5 and sum(x[2] for x in got) == 6 and all(t <= 2 * s for _, s, t in got)
     nothing = spark.createDataFrame([(1, "", "a"), (2, None, "b")], schema)
     assert [r.taken for r in mixing.mix_sources(nothing).collect()] == [0, 0]
+
+
+def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
+    """Every stage on what the one before kept: nulls, empty and long texts, repeated rows, ties and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    item = " ".join(f"bench{i}" for i in range(40))
+    secret = "password=b7db7aa4a5fcc78305"
+    texts = dict(corpus) | {300 + i: " ".join(rng.choice(["XX!!", "YY!!", "ZZ!!"]) for _ in range(60)) for i in range(15)}
+    texts |= {400: f"{corpus[1]} {item} {corpus[2]}"} | {410 + i: f"{corpus[20 + i]} {corpus[30 + i]} {secret} {corpus[40 + i]}" for i in range(5)} | {402: " ".join(corpus[i] for i in range(60)) * 3}
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 1, "x") for i, t in texts.items()] + [(1, corpus[1], "en", "s1", 1, 1, "x"), (None, f"{corpus[11]} {corpus[13]} {corpus[17]}", None, None, None, 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, taken string"
+    spark.createDataFrame([(i, int(i < 300 or i >= 400), 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        kept[name] = {(r.doc_id, r.text) for r in docs.collect()}
+        if k < 4:
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        empty = stage(spark, before.limit(0), str(tmp_path))
+        assert empty.count() == 0
+    ids = {name: {i for i, _ in rs} for name, rs in kept.items()}
+    good = ids["quality classifier"]
+    assert sum(i in good for i in corpus) >= 0.95 * len(corpus) and not any(i in good for i in range(300, 315)) and None in good
+    entered = {i: t for i, t in kept["quality classifier"] if i is not None}
+    roots = {i for i, (_, root) in jaccard.brute_force(entered, 5, 4, 5).items() if i == root}
+    assert ids["n-gram Jaccard join"] - {None} == roots
+    clean = decontaminate.brute_force({i: t for i, t in kept["n-gram Jaccard join"] if i is not None}, {1: item})
+    assert ids["benchmark decontamination"] - {None} == {i for i, x in clean.items() if not x[4]} and 400 not in ids["benchmark decontamination"]
+    masked = dict(kept["secret scans"])
+    assert set(masked) & set(range(410, 415)) and all(masked[i] == (t or "").replace(secret.split("=")[1], "[SECRET]") for i, t in texts.items() if i in masked and t)
+    last = docs.collect()
+    assert kept["mixing sources to target weights"] == kept["secret scans"] and sum(r.taken for r in last) == int(1.5 * sum(r.size for r in last))
