@@ -20,7 +20,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the importance sample for the good label; the others go."""
+    """Documents in the importance sample for the good label; the others go.
+
+    A null or empty text has log weight 0; a null doc_id has no label; rows that share a doc_id are each judged by their
+    own text; ties at the edge of the sample stay; no labels: all stay; an empty table stays empty; other columns go.
+    """
     core.tune(spark)
     scored = importance_resample(docs.select(*COLUMNS), core.table(spark, sf_dir, "labels"))
     return scored.filter("kept").select(*COLUMNS)
@@ -38,7 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items.
+
+    Null and empty texts hit nothing and stay, a null text as null; null ids and repeated rows are each judged on their own;
+    an empty benchmark leaves all; an empty table stays empty; other columns go.
+    """
     core.tune(spark)
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", F.col("text").isNull().alias("no_text"), *rest).alias("key"), "text")
@@ -48,16 +56,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, confirmed secrets replaced in their texts and n_chars made to fit."""
+    """All documents, confirmed secrets replaced in their texts and n_chars made to fit.
+
+    Null and empty texts stay as they are; rows equal in id and text are masked alike, null ids too; an empty table stays
+    empty; other columns go.
+    """
     found = secret_scan(docs)
     masked = mask_secrets(docs.select(*COLUMNS), found)
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix of the sources takes of each document, in the order of their virtual finish times."""
-    out = mix_sources(docs)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "finish").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+    """Words that the mix of the sources takes of each document, with the document, in the order of virtual finish times.
+
+    A null or empty text has size 0 and gives 0 words; a null source is one of its own, the last; null ids come first in the
+    shuffle; repeated rows are documents of their own; an empty table stays empty; other columns go.
+    """
+    core.tune(spark)
+    out = mix_sources(docs, keep=("text", "lang", "n_chars"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "finish", "text", "lang", "n_chars").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 
 STAGES = [
