@@ -155,15 +155,20 @@ def components_of(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Lineage cut through the folder in spark.checkpoint.dir (a folder of its own only where none is set)."""
+    """Lineage cut through the folder in spark.checkpoint.dir; one of this machine only with a local master and none set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{sc.applicationId}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"/tmp/checkpoints/{sc.applicationId}")
     return df.checkpoint(eager=True)
 
 
