@@ -69,3 +69,23 @@ def parse_pair(text: Column) -> Column:
 
 def format_pair(pair: Column) -> Column:
     return F.format_string("(%d,%d)", pair["a"], pair["b"])
+
+
+#: Fields of a calibration, in order, with their kinds (fixed values).
+CALIBRATION = (
+    ("image_path", "text"), ("folder_name", "text"), ("nlm_h", "int"), ("nlm_tws", "int"), ("nlm_sws", "int"), ("gb_kernel", "pair"),
+    ("clahe_cl", "double"), ("clahe_tgs", "pair"), ("thresh_bs", "int"), ("thresh_c", "double"), ("morphx_kernel", "pair"),
+    ("kernel_open", "pair"), ("kernel_close", "pair"), ("debug_args", "names"), ("output_destination", "text"),
+)
+
+
+def parse_args(fields: dict[str, Column]) -> dict[str, Column]:
+    """The calibration's text fields in their kinds; what cannot be read is null, names are split at commas without blanks."""
+    read = {
+        "text": lambda c: c,
+        "int": lambda c: F.trim(c).try_cast("int"),
+        "double": lambda c: F.trim(c).try_cast("double"),
+        "pair": parse_pair,
+        "names": lambda c: F.split(F.replace(c, F.lit(" "), F.lit("")), ","),
+    }
+    return {name: read[kind](fields[name]) for name, kind in CALIBRATION}

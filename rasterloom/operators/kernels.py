@@ -96,65 +96,65 @@ def components(df: DataFrame) -> DataFrame:
     return raster_map(df, component_labels)
 
 
-def clahe(df: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (2, 2)) -> DataFrame:
+def clahe_stack(stack: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (2, 2)) -> np.ndarray:
     """Contrast-limited adaptive histogram equalisation of 0 to 255 rasters.
 
     Tile histograms are clipped at max(1, clip * tile pixels / 256), what is cut off is dealt out evenly (the rest one by
     one at equal steps), the tile tables are scaled cumulative sums, and each pixel blends its four nearest tables.
     """
+    n, h, w = stack.shape
+    gr, gc = grid
+    th, tw = -(-h // gr), -(-w // gc)
+    padded = np.pad(stack, ((0, 0), (0, th * gr - h), (0, tw * gc - w)), mode="reflect" if min(h, w) > 1 else "edge")
+    area = th * tw
+    limit = max(1, int(clip * area / 256)) if clip > 0 else area
+    tables = np.zeros((n, gr, gc, 256))
+    for a in range(gr):
+        for b in range(gc):
+            tile = padded[:, a * th : (a + 1) * th, b * tw : (b + 1) * tw].reshape(n, -1).astype(np.int64)
+            for k in range(n):
+                hist = np.bincount(tile[k], minlength=256)
+                over = int(np.maximum(hist - limit, 0).sum())
+                hist = np.minimum(hist, limit) + over // 256
+                rest = over % 256
+                if rest:
+                    hist[np.arange(rest) * max(1, 256 // rest)] += 1
+                tables[k, a, b] = np.clip(np.rint(np.cumsum(hist) * (255.0 / area)), 0, 255)
+    fr, fc = (np.arange(h) / th - 0.5), (np.arange(w) / tw - 0.5)
+    r0, c0 = np.floor(fr).astype(int), np.floor(fc).astype(int)
+    wr, wc = fr - r0, fc - c0
+    pick = lambda r, c: tables[np.arange(n)[:, None, None], np.clip(r, 0, gr - 1)[None, :, None], np.clip(c, 0, gc - 1)[None, None, :], stack.astype(int)]
+    top = pick(r0, c0) * (1 - wc) + pick(r0, c0 + 1) * wc
+    low = pick(r0 + 1, c0) * (1 - wc) + pick(r0 + 1, c0 + 1) * wc
+    return np.clip(np.rint(top * (1 - wr)[None, :, None] + low * wr[None, :, None]), 0, 255)
 
-    def equalise(stack: np.ndarray) -> np.ndarray:
-        n, h, w = stack.shape
-        gr, gc = grid
-        th, tw = -(-h // gr), -(-w // gc)
-        padded = np.pad(stack, ((0, 0), (0, th * gr - h), (0, tw * gc - w)), mode="reflect" if min(h, w) > 1 else "edge")
-        area = th * tw
-        limit = max(1, int(clip * area / 256)) if clip > 0 else area
-        tables = np.zeros((n, gr, gc, 256))
-        for a in range(gr):
-            for b in range(gc):
-                tile = padded[:, a * th : (a + 1) * th, b * tw : (b + 1) * tw].reshape(n, -1).astype(np.int64)
-                for k in range(n):
-                    hist = np.bincount(tile[k], minlength=256)
-                    over = int(np.maximum(hist - limit, 0).sum())
-                    hist = np.minimum(hist, limit) + over // 256
-                    rest = over % 256
-                    if rest:
-                        hist[np.arange(rest) * max(1, 256 // rest)] += 1
-                    tables[k, a, b] = np.clip(np.rint(np.cumsum(hist) * (255.0 / area)), 0, 255)
-        fr, fc = (np.arange(h) / th - 0.5), (np.arange(w) / tw - 0.5)
-        r0, c0 = np.floor(fr).astype(int), np.floor(fc).astype(int)
-        wr, wc = fr - r0, fc - c0
-        pick = lambda r, c: tables[np.arange(n)[:, None, None], np.clip(r, 0, gr - 1)[None, :, None], np.clip(c, 0, gc - 1)[None, None, :], stack.astype(int)]
-        top = pick(r0, c0) * (1 - wc) + pick(r0, c0 + 1) * wc
-        low = pick(r0 + 1, c0) * (1 - wc) + pick(r0 + 1, c0 + 1) * wc
-        return np.clip(np.rint(top * (1 - wr)[None, :, None] + low * wr[None, :, None]), 0, 255)
-
-    return raster_map(df, equalise)
 
+def clahe(df: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (2, 2)) -> DataFrame:
+    return raster_map(df, lambda stack: clahe_stack(stack, clip, grid))
 
-def denoise_nlm(df: DataFrame, strength: float = 10.0, template: int = 3, search: int = 5) -> DataFrame:
+
+def denoise_stack(stack: np.ndarray, strength: float = 10.0, template: int = 3, search: int = 5) -> np.ndarray:
     """Non-local means: each pixel is the mean of the search window, weighted by exp(-patch distance / strength^2)."""
+    n, h, w = stack.shape
+    t, s = template // 2, search // 2
+    x = np.pad(stack.astype(np.float64), ((0, 0), (t + s, t + s), (t + s, t + s)), mode="symmetric")
+    view = lambda dr, dc, m: x[:, s + t + dr - m : s + t + dr + h + m, s + t + dc - m : s + t + dc + w + m]
+    total, weight = np.zeros((n, h, w)), np.zeros((n, h, w))
+    here = view(0, 0, t)
+    for dr in range(-s, s + 1):
+        for dc in range(-s, s + 1):
+            square = (view(dr, dc, t) - here) ** 2
+            sums = np.pad(square.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+            k = 2 * t + 1
+            d = (sums[:, k:, k:] - sums[:, :-k, k:] - sums[:, k:, :-k] + sums[:, :-k, :-k]) / (k * k)
+            own = np.exp(-np.maximum(d, 0) / (strength * strength))
+            total += own * view(dr, dc, 0)
+            weight += own
+    return np.rint(total / weight)
 
-    def denoise(stack: np.ndarray) -> np.ndarray:
-        n, h, w = stack.shape
-        t, s = template // 2, search // 2
-        x = np.pad(stack.astype(np.float64), ((0, 0), (t + s, t + s), (t + s, t + s)), mode="symmetric")
-        view = lambda dr, dc, m: x[:, s + t + dr - m : s + t + dr + h + m, s + t + dc - m : s + t + dc + w + m]
-        total, weight = np.zeros((n, h, w)), np.zeros((n, h, w))
-        here = view(0, 0, t)
-        for dr in range(-s, s + 1):
-            for dc in range(-s, s + 1):
-                square = (view(dr, dc, t) - here) ** 2
-                sums = np.pad(square.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
-                k = 2 * t + 1
-                d = (sums[:, k:, k:] - sums[:, :-k, k:] - sums[:, k:, :-k] + sums[:, :-k, :-k]) / (k * k)
-                own = np.exp(-np.maximum(d, 0) / (strength * strength))
-                total += own * view(dr, dc, 0)
-                weight += own
-        return np.rint(total / weight)
-
-    return raster_map(df, denoise)
+
+def denoise_nlm(df: DataFrame, strength: float = 10.0, template: int = 3, search: int = 5) -> DataFrame:
+    return raster_map(df, lambda stack: denoise_stack(stack, strength, template, search))
 
 
 def thin_stack(stack: np.ndarray) -> np.ndarray:

@@ -24,36 +24,36 @@ def component_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def small_component_mask(df: DataFrame, most: int = 1000) -> DataFrame:
+def small_mask_stack(stack: np.ndarray, most: int = 1000) -> np.ndarray:
     """Keeps pixels inside the box [x, x + width] x [y, y + height] (both ends in) of any component of at most ``most`` pixels."""
+    labels = component_labels(stack)
+    n, h, w = stack.shape
+    inside = np.zeros_like(labels, dtype=bool)
+    for k in range(n):
+        size = np.bincount(labels[k].ravel(), minlength=h * w + 1)
+        for label in np.flatnonzero(size[1:]) + 1:
+            if size[label] <= most:
+                r, c = np.nonzero(labels[k] == label)
+                inside[k, r.min() : r.max() + 2, c.min() : c.max() + 2] = True
+    return np.where(inside, stack, 0)
 
-    def mask(stack: np.ndarray) -> np.ndarray:
-        labels = component_labels(stack)
-        n, h, w = stack.shape
-        inside = np.zeros_like(labels, dtype=bool)
-        for k in range(n):
-            size = np.bincount(labels[k].ravel(), minlength=h * w + 1)
-            for label in np.flatnonzero(size[1:]) + 1:
-                if size[label] <= most:
-                    r, c = np.nonzero(labels[k] == label)
-                    inside[k, r.min() : r.max() + 2, c.min() : c.max() + 2] = True
-        return np.where(inside, stack, 0)
 
-    return raster_map(df, mask)
+def small_component_mask(df: DataFrame, most: int = 1000) -> DataFrame:
+    return raster_map(df, lambda stack: small_mask_stack(stack, most))
 
 
-def fill_small_holes(df: DataFrame, under: int = 300) -> DataFrame:
+def fill_holes_stack(stack: np.ndarray, under: int = 300) -> np.ndarray:
     """255, but 0 where a pixel is in an off-component of at least ``under`` pixels."""
+    labels = component_labels(255 - np.where(stack > 0, 255, 0))
+    out = np.full_like(labels, 255)
+    for k in range(len(stack)):
+        size = np.bincount(labels[k].ravel())
+        out[k][(labels[k] > 0) & (size[labels[k]] >= under)] = 0
+    return out
 
-    def fill(stack: np.ndarray) -> np.ndarray:
-        labels = component_labels(255 - np.where(stack > 0, 255, 0))
-        out = np.full_like(labels, 255)
-        for k in range(len(stack)):
-            size = np.bincount(labels[k].ravel())
-            out[k][(labels[k] > 0) & (size[labels[k]] >= under)] = 0
-        return out
 
-    return raster_map(df, fill)
+def fill_small_holes(df: DataFrame, under: int = 300) -> DataFrame:
+    return raster_map(df, lambda stack: fill_holes_stack(stack, under))
 
 
 def small_component_count(df: DataFrame, under: int = 50) -> DataFrame:
@@ -115,10 +115,13 @@ def left_fallback(path: Column, width: Column) -> Column:
 def junction_box(points: DataFrame, pad: tuple[int, int, int, int] = (15, 15, 25, 15), col_guard: int = 2, row_guard: int = 20) -> DataFrame:
     """image_id, x1, x2, y1, y2: bounds of the junctions, padded (left, right, top, bottom) and clamped; null without junctions.
 
-    The right and lower bounds leave out junctions in the last columns and rows.
+    The right and lower bounds leave out junctions in the last columns and rows.  Columns border and leftmost of points, where
+    they are there and not null, stand for the top and the left bound.
     """
     of = lambda f, keep=None: F.transform(F.filter("points", keep) if keep else F.col("points"), f)
     left, top = F.array_min(of(lambda p: p["c"])), F.array_min(of(lambda p: p["r"]))
+    left = F.coalesce("leftmost", left) if "leftmost" in points.columns else left
+    top = F.coalesce("border", top) if "border" in points.columns else top
     right = F.array_max(of(lambda p: p["c"], lambda p: p["c"] < F.col("w") - col_guard))
     bottom = F.array_max(of(lambda p: p["r"], lambda p: p["r"] < F.col("h") - row_guard))
     return points.select(
@@ -139,6 +142,21 @@ def crop(df: DataFrame, box: DataFrame) -> DataFrame:
     return b.withColumn("cut", px).select("image_id", F.col("nh").alias("h"), F.col("nw").alias("w"), F.col("cut").alias("px"))
 
 
+def raster_border(edge: int = 20, jump: int = 5) -> Column:
+    """Of a raster's own row: the second of exactly two rows with more than one on-pixel, more than ``jump``, between the side
+    edges whose row before has none; null otherwise."""
+    row = lambda y: F.size(F.filter(F.slice("px", y * F.col("w") + edge + 1, F.greatest(F.lit(0), F.col("w") - 2 * edge)), lambda v: v > 0))
+    counts = F.transform(F.sequence(F.lit(0), F.col("h") - 1), row)
+    starts = F.filter(F.transform(counts, lambda n, y: F.when((y > 0) & (n > 1) & (n > jump) & (F.get(counts, y - 1) == 0), y)), lambda y: y.isNotNull())
+    return F.when(F.size(starts) == 2, F.get(starts, F.lit(1)))
+
+
+def raster_leftmost() -> Column:
+    """Of a raster's own row: the first column with an on-pixel, 0 without."""
+    columns = F.transform("px", lambda v, i: F.when(v > 0, (i % F.col("w")).cast("int")))
+    return F.coalesce(F.array_min(columns), F.lit(0))
+
+
 def upper_border(points: DataFrame, from_col: int, to_col: int, jump: int) -> DataFrame:
     """image_id, border: the second of exactly two rows where on-pixels start after an empty row; null otherwise.
 

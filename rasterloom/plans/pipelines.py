@@ -35,17 +35,22 @@ def skeletons(rasters: DataFrame, open_kernel: tuple[int, int] = (2, 2), close_k
     return kernels.thin(df)
 
 
-def crop_full(skeleton: DataFrame, paths: DataFrame, pads: tuple[int, int, int, int] = (15, 15, 25, 15), col_guard: int = 2, row_guard: int = 20, nearer_than: float = 5.0) -> DataFrame:
+def crop_full(skeleton: DataFrame, paths: DataFrame, pads: tuple[int, int, int, int] = (15, 15, 25, 15), col_guard: int = 2, row_guard: int = 20, nearer_than: float = 5.0, edge: int = 20, jump: int = 5) -> DataFrame:
     """Skeletons cut by the rules of their path (image_id, path), then to the padded bounds of their junctions.
 
-    A raster without junctions, or narrower than its cut, gets null px.
+    The upper border, where there is one, stands for the topmost junction; the leftmost pixel stands for the leftmost
+    junction where that is right of the path's fallback.  A raster without junctions, or narrower than its cut, gets null px.
     """
     j = skeleton.join(paths, "image_id")
-    cut = pixel_width = F.greatest(F.lit(0), F.col("w") - regions.crop_columns(F.col("path"), F.col("w")))
+    cut = F.greatest(F.lit(0), F.col("w") - regions.crop_columns(F.col("path"), F.col("w")))
     rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice("px", (y * F.col("w") + 1).cast("int"), F.col("nw"))))
-    df = j.withColumn("nw", cut.cast("int")).withColumn("cut", F.when(pixel_width > 0, rows)).select("image_id", "h", F.col("nw").alias("w"), F.col("cut").alias("px"))
-    box = regions.junction_box(points.find_junctions(df, nearer_than), pads, col_guard, row_guard)
-    return regions.crop(df, box)
+    df = j.withColumn("nw", cut.cast("int")).withColumn("cut", F.when(F.col("nw") > 0, rows)).select("image_id", "path", "h", F.col("nw").alias("w"), F.col("cut").alias("px"))
+    found = points.find_junctions(df.drop("path"), nearer_than)
+    fallback = regions.left_fallback(F.col("path"), F.col("w"))
+    instead = df.select("image_id", regions.raster_border(edge, jump).alias("border"), fallback.alias("fallback"), regions.raster_leftmost().alias("first"))
+    left = F.array_min(F.transform("points", lambda p: p["c"]))
+    found = found.join(instead, "image_id").withColumn("leftmost", F.when((F.col("fallback") > 0) & (left > F.col("fallback")), F.col("first")))
+    return regions.crop(df.drop("path"), regions.junction_box(found, pads, col_guard, row_guard))
 
 
 def skeleton_graphs(skeleton: DataFrame, nearer_than: float = 5.0) -> tuple[DataFrame, DataFrame]:

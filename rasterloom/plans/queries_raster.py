@@ -434,6 +434,26 @@ def _(spark: S, sf: str) -> DataFrame:
     return text.select("doc_id", F.col("nlm_h").try_cast("int").alias("nlm_h"), F.col("clahe_cl").try_cast("double").alias("clahe_cl"), pair["a"].alias("gb_a"), pair["b"].alias("gb_b"))
 
 
+@query(
+    "q_args_parse",
+    f"""WITH {fx.NAMES} SELECT doc_id, path AS image_path, substring(split_part(path, '/', 4), 1, 2) AS folder_name, CAST(width AS INTEGER) AS nlm_h, CAST(width % 40 AS INTEGER) AS nlm_tws, CAST(width % 50 AS INTEGER) AS nlm_sws,
+  '(' || (width % 7) || ',' || (width % 5) || ')' AS gb_kernel, width / 10.0 AS clahe_cl{{r}}, '(' || (width % 30) || ',' || (width % 20) || ')' AS clahe_tgs, CAST(width % 60 AS INTEGER) AS thresh_bs, -(width % 90) / 8.0 AS thresh_c{{r}},
+  CASE WHEN width % 11 <> 0 THEN '(' || (width % 3) || ',2)' END AS morphx_kernel, '(2,' || (width % 4) || ')' AS kernel_open, '(' || (width % 6) || ',-5)' AS kernel_close, 'gray|thresh' || (width % 2) AS debug_args, '/data/out' AS output_destination FROM nm""",
+)
+def _(spark: S, sf: str) -> DataFrame:
+    """All fields of a calibration as typed in: blanks, signs, and a kernel that is none."""
+    w = F.col("width")
+    n = fx.names(spark, sf)
+    pair = lambda a, b: F.concat(F.lit("( "), a.cast("string"), F.lit(" ,"), b.cast("string"), F.lit(")"))
+    text = {"image_path": F.col("path"), "folder_name": px.region_code(F.col("path")), "nlm_h": F.concat(F.lit(" "), w.cast("string")), "nlm_tws": (w % 40).cast("string"), "nlm_sws": (w % 50).cast("string"), "gb_kernel": pair(w % 7, w % 5), "clahe_cl": (w / 10).cast("string"), "clahe_tgs": pair(w % 30, w % 20), "thresh_bs": (w % 60).cast("string"), "thresh_c": (-(w % 90) / 8).cast("string")}
+    text |= {"morphx_kernel": F.when(w % 11 != 0, pair(w % 3, F.lit(2))).otherwise("3x3"), "kernel_open": pair(F.lit(2), w % 4), "kernel_close": pair(w % 6, F.lit(-5)), "debug_args": F.concat(F.lit("gray, thresh"), (w % 2).cast("string")), "output_destination": F.lit("/data/out")}
+    read = px.parse_args(text)
+    kinds = dict(px.CALIBRATION)
+    flat = {"pair": px.format_pair, "names": lambda c: F.array_join(c, "|")}
+    shown = [F.when(c.isNotNull(), flat[kinds[k]](c)).alias(k) if kinds[k] in flat else c.alias(k) for k, c in read.items()]
+    return n.select("doc_id", *shown)
+
+
 @query("q_param_csv_parse", "SELECT s_suppkey AS ord, CAST(s_nationkey AS VARCHAR) AS folder, s_acctbal AS noise{r}, CAST(s_suppkey % 40 AS INTEGER) AS nlm_h, CAST(s_suppkey % 9 AS INTEGER) AS kernel_a, CAST(s_suppkey % 4 AS INTEGER) AS kernel_b FROM supplier")
 def _(spark: S, sf: str) -> DataFrame:
     p = fx.params(spark, sf)
@@ -469,6 +489,24 @@ def _(spark: S, sf: str) -> DataFrame:
     return good.agg(F.count("*").alias("n")).select(F.lit("ok").alias("status"), "n").filter("n > 0").unionByName(bad.groupBy(F.col("error").alias("status")).agg(F.count("*").alias("n")))
 
 
+@query("q_main_job")
+def _(spark: S, sf: str) -> DataFrame:
+    """Every image filtered with the parameters of its folder's nearest noise level: size and on-pixels of its skeleton, or
+    the error."""
+    from . import wing
+
+    kernels_of = lambda a, b: {"a": a, "b": b}
+    rows = [(folder, noise, ord_, 10 + ord_, 3, 5, kernels_of(3, 3), 2.0, kernels_of(2, 2), 3 if ord_ < 5 else 4, 2.0 - ord_ / 4, kernels_of(2, 2), kernels_of(1, 1 + ord_ % 2), kernels_of(2, 2)) for ord_, (folder, noise) in enumerate([("VA", 20.0), ("VA", 60.0), ("VB", 40.0), ("VC", 10.0), ("VC", 90.0), ("VD", 40.0)])]
+    pair = "struct<a:int,b:int>"
+    params = spark.createDataFrame(rows, f"folder string, noise double, ord long, nlm_h int, nlm_tws int, nlm_sws int, gb_kernel {pair}, clahe_cl double, clahe_tgs {pair}, thresh_bs int, thresh_c double, morphx_kernel {pair}, kernel_open {pair}, kernel_close {pair}")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("VA", "VB", "VC", "VD", "VE")]), (F.col("image_id") % 5).cast("int") + 1)  # VE has none
+    images = fx.blobs(spark, sf).withColumn("px", F.transform("px", lambda v: 235 - 200 * v)).withColumn("path", F.concat(F.lit("/data/in/"), prefix, F.lit("-"), F.col("image_id").cast("string"), F.lit(".png")))
+    done = images.filter("image_id % 9 = 0").select("path")
+    good, bad = wing.filter_images(images, params, done, block=5, c=5.0, hole=20, crop={"pads": (2, 2, 2, 2), "row_guard": 2, "edge": 2, "jump": 1})
+    shown = good.select("path", "folder", "noise", "h", "w", F.size(F.filter("px", lambda v: v > 0)).alias("on_pixels"), F.lit(None).cast("string").alias("error"))
+    return shown.unionByName(bad.select("path", "folder", "noise", "error"), allowMissingColumns=True)
+
+
 @query("q_pipeline_morphology")
 def _(spark: S, sf: str) -> DataFrame:
     """On-pixels, components, junctions, orientation and edge noise of every raster."""

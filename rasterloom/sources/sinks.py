@@ -37,6 +37,30 @@ def write_images(rasters: DataFrame, name: Column, folder: str) -> None:
     encode_png(rasters).join(named, "image_id").select("name", "png").write.mode("overwrite").parquet(folder)
 
 
+def write_image_files(rasters: DataFrame, name: Column, folder: str) -> int:
+    """Writes each raster as a PNG file of its own under its name, from the executors, and returns how many there are.
+
+    The folder must be one that executors and driver share; a file is renamed into place, so a task that runs again leaves
+    whole files.
+    """
+
+    def run(batches):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            for label, png in zip(pdf["name"], pdf["png"], strict=True):
+                part = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(part, "wb") as out:
+                    out.write(png)
+                os.replace(part, os.path.join(folder, label))
+            yield pdf[["name"]]
+
+    named = rasters.select("image_id", name.alias("name"))
+    return encode_png(rasters).join(named, "image_id").filter("png is not null").select("name", "png").mapInPandas(run, "name string").count()
+
+
 def write_by(df: DataFrame, part: Column, name: str, folder: str) -> None:
     """One folder per value: cluster_<id>, clean and noisy, normal and anomalous."""
     df.withColumn(name, part).write.mode("overwrite").partitionBy(name).parquet(folder)
