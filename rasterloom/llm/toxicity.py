@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import core
 from .decontaminate import lookup, words_of
 
-MAX_EXAMPLES = 1_500
+MAX_EXAMPLES = 1_200
 #: A word of a single example can bring no other text nearer to any but that one.
 LEAST_EXAMPLES = 2
 RELEVANCE_POWER = 0.75
@@ -151,7 +151,7 @@ class BlockMaxIndex:
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         best_i, best_c = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step = 0, 2
+        done, step = 0, 8
         while done < len(order) and not (len(best_c) == k and best_c[-1] >= bounds[order[done]] + 1e-12):
             wanted = np.zeros(self.n_blocks, dtype=bool)
             wanted[order[done : done + step]] = True
