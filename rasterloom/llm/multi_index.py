@@ -10,12 +10,15 @@ and the neighbours found are verified by cosine in double precision.
 
 Equal vectors of one label are collapsed before and counted after, cells with many
 vectors are split into blocks that each meet the cell's queries, and the probes of a
-cell stream past one block at a time.
+cell stream past one block at a time.  A meeting gives counts of links and the edges
+of a spanning forest, never its pairs: a link is counted for the vector that visits,
+and for the vector visited only if that one does not visit back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from .components import connected_components
 
 SAMPLE = 16_384
 BLOCK = 2_048
+MAX_CODEWORDS = 1_024
 
 
 def _ordered_cells(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], t: int) -> np.ndarray:
@@ -36,6 +40,9 @@ def _ordered_cells(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], t: i
     pairs with (i + 1)(j + 1) <= t can be among the first t.
     """
     k = len(books[0])
+    most = max(1, 4_000_000 // int(t * (1 + np.log(t)) + k))  # rows whose candidate cells are held at once
+    if len(units) > most:
+        return np.concatenate([_ordered_cells(units[s : s + most], books, t) for s in range(0, len(units), most)])
     half = units.shape[1] - units.shape[1] // 2
     t = min(t, k * k)
     order, dist = [], []
@@ -78,9 +85,9 @@ class MultiIndex:
         away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
         c = threshold + (1 - threshold) * 0.25
         groups = [(q, c * q + np.sqrt(1 - c * c) * away), *self._pairs(sample, labels, threshold)]  # neighbours near the threshold, always
-        self.visits = k * k
         own = [_ordered_cells(partners, self.books, 1) for _, partners in groups]
-        for t in (1, 2, 4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096):
+        self.visits = k * k
+        for t in (1, 2, 4, 8, 16, 24, 32, 48, 64, 96, *(n << i for i in range(6, 20) for n in (2, 3))):
             if t >= k * k:
                 break
             if all(self._found(queries, cells, t) >= target_recall for (queries, _), cells in zip(groups, own, strict=True)):
@@ -146,52 +153,98 @@ def _cells(nodes: DataFrame, index: MultiIndex, width: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.concatenate([_ordered_cells(_matrix(batch.column(2).slice(s, 512), width), index.books, index.visits) for s in range(0, max(1, batch.num_rows), 512)]).astype(np.int32)
+            cells = _ordered_cells(_matrix(batch.column(2), width), index.books, index.visits).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "cells"])
 
-    return nodes.mapInArrow(assign, "node long, part string, vector array<double>, cells array<int>")
+    return nodes.mapInArrow(assign, "node long, part string, vector array<double>, copies long, cells array<int>")
+
+
+class _Block:
+    """The indexed vectors of a block and what its probes have found."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+
+    def close(self) -> None:
+        self.names, self.copies, self.units, self.cells = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.found = np.zeros(len(self.names), dtype=np.int64)
+        self.group = np.arange(len(self.names))
+
+    def meet(self, names: np.ndarray, copies: np.ndarray, units: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple]:
+        """(node, other, links) columns of some probes; links count rows, so a vector with copies counts with all of them."""
+        q, m = np.nonzero(units @ self.units.T >= threshold)
+        other = names[q] != self.names[m]
+        q, m = q[other], m[other]
+        if not len(q):
+            return
+        yield names, None, np.bincount(q, weights=self.copies[m], minlength=len(names)).astype(np.int64)
+        step = max(1, 4_000_000 // self.cells.shape[1])
+        for s in range(0, len(q), step):
+            x, y = q[s : s + step], m[s : s + step]
+            once = ~(self.cells[y] == own[x, None]).any(axis=1)
+            self.found += np.bincount(y[once], weights=copies[x[once]], minlength=len(self.found)).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        yield names[q[start]], self.names[m[start]], None
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(q)], strict=True):
+            groups = self.group[m[a:b]]
+            if (groups != groups[0]).any():
+                self.group[np.isin(self.group, groups)] = groups.min()
+
+    def finish(self) -> Iterator[tuple]:
+        some = self.found > 0
+        yield self.names[some], None, self.found[some]
+        hung = self.group != np.arange(len(self.group))
+        yield self.names[hung], self.names[self.group[hung]], None
 
 
 def _links(dealt: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Pairs a < b found; dealt: part, cell, block, probe, node, vector, indexed vectors of a block first."""
+    """Rows with b: edges that connect what links connect; rows with n: links of a, to be added up.
+
+    dealt: part, cell, block, probe, node, copies, vector, cells; indexed vectors of a block first, with all cells they
+    visit; probes after them, with their own cell alone.
+    """
+
+    def rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for a, b, n in found:
+            keep = np.ones(len(a), dtype=bool) if n is None else n > 0
+            if keep.any():
+                columns = [pa.array(a[keep]), *(pa.nulls(int(keep.sum()), pa.int64()) if x is None else pa.array(x[keep]) for x in (b, n))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows = None, [], []
-        matrix = np.zeros((0, width))
+        key, block, closed = None, None, False
         for batch in batches:
             parts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            probe, node = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
-            units = _matrix(batch.column(5), width)
+            probe, node, copies = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            units, cells = _matrix(batch.column(6), width), batch.column(7)
             i = 0
-            found_a, found_b = [], []
             while i < len(parts):
                 j = i
                 while j < len(parts) and parts[j] == parts[i] and probe[j] == probe[i]:
                     j += 1
                 if parts[i] != key:
-                    key, ids, rows = parts[i], [], []
-                    matrix = np.zeros((0, width))
+                    if closed:
+                        yield from rows(block.finish())
+                    key, block, closed = parts[i], _Block(), False
+                here = cells.slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
                 if not probe[i]:
-                    ids.append(node[i:j])
-                    rows.append(units[i:j])
-                    matrix = None
-                elif ids:
-                    if matrix is None:
-                        matrix, names = np.concatenate(rows), np.concatenate(ids)
+                    block.add(node[i:j], copies[i:j], units[i:j], here)
+                elif block.parts:
+                    if not closed:
+                        block.close()
+                        closed = True
                     for s in range(i, j, 1024):
-                        q, b = np.nonzero(units[s : min(s + 1024, j)] @ matrix.T >= threshold)
-                        one, two = node[s + q], names[b]
-                        ok = one != two
-                        found_a.append(np.minimum(one, two)[ok])
-                        found_b.append(np.maximum(one, two)[ok])
+                        e = min(s + 1024, j)
+                        yield from rows(block.meet(node[s:e], copies[s:e], units[s:e], here[s - i : e - i, 0], threshold))
                 i = j
-            if found_a:
-                a, b = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if closed:
+            yield from rows(block.finish())
 
-    return dealt.mapInArrow(meet, "a long, b long")
+    return dealt.mapInArrow(meet, "a long, b long, n long")
 
 
 def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, target_recall: float = 0.985, sample: int = SAMPLE, per_cell: int = 16) -> DataFrame:
@@ -209,36 +262,42 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     fine = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0)
     vector = F.when(F.coalesce(fine, F.lit(False)), F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 as 0.0
     part = F.concat_ws("/", F.size(vector).cast("string"), "label")
-    rows = rows.select("id", vector.alias("vector"), part.alias("part")).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("part", "vector")))
-    sizes = rows.filter("node is not null").agg(F.count("*"), F.max(F.size("vector"))).first()
-    alone = rows.filter("node is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    rows = rows.select("id", vector.alias("vector"), part.alias("part"))
+    usable = rows.filter("vector is not null")
+    sizes = usable.agg(F.count("*"), F.max(F.size("vector"))).first()
+    alone = rows.filter("vector is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     if not sizes[0]:
         return alone
     width = int(sizes[1])
-    # a node is a distinct vector of a part; the second hash keeps different vectors with one 64-bit hash apart
-    nodes = rows.filter("node is not null").groupBy("node", F.xxhash64("vector", F.lit(1)).alias("twin")).agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("part").alias("part"), F.first("vector").alias("vector"))
-    nodes = core.checkpointed(nodes.withColumn("node", F.when(F.col("twin").isNotNull(), F.col("node"))))
-    picked = nodes.select("part", "vector").orderBy(F.xxhash64("node", "twin")).limit(sample).toPandas()
+    # a node is a distinct vector of a part, named by a hash under which no two of them meet (a second hash tells)
+    for seed in count():
+        named = usable.withColumn("node", F.xxhash64("part", "vector", F.lit(seed)))
+        twin = F.xxhash64(F.lit(seed), "vector", "part")
+        nodes = core.checkpointed(named.groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("part").alias("part"), F.first("vector").alias("vector"), (F.min(twin) != F.max(twin)).alias("mixed")))
+        if nodes.filter("mixed").isEmpty():
+            break
+        core.discard(nodes)
+    picked = nodes.select("part", "vector").orderBy(F.xxhash64("node"), "node").limit(sample).toPandas()
     units = _matrix(pa.array(picked["vector"].tolist(), type=pa.list_(pa.float64())), width)
-    k = int(min(256, max(2, (sizes[0] / per_cell) ** 0.5)))
+    k = int(min(MAX_CODEWORDS, max(2, (sizes[0] / per_cell) ** 0.5)))
     index = MultiIndex(units, picked["part"].to_numpy(), k, threshold, target_recall)
-    celled = core.checkpointed(_cells(nodes.select("node", "part", "vector"), index, width))
+    celled = core.checkpointed(_cells(nodes.select("node", "part", "vector", "copies"), index, width))
 
     # cells with many vectors are split into blocks; every probe of the cell meets all of them
     own = celled.withColumn("cell", F.col("cells")[0])
-    blocks = own.groupBy("part", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    indexed = own.join(blocks, ["part", "cell"]).select("part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "node", "vector")
-    probing = celled.select("part", "node", "vector", F.explode("cells").alias("cell")).join(blocks, ["part", "cell"]).select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "node", "vector")
+    most = max(64, min(BLOCK, 16_000_000 // index.visits))
+    blocks = own.groupBy("part", "cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
+    indexed = own.join(blocks, ["part", "cell"]).select("part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "node", "copies", "vector", "cells")
+    probing = own.select("part", "node", "copies", "vector", F.array("cell").alias("own"), F.explode("cells").alias("cell")).join(blocks, ["part", "cell"]).select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "node", "copies", "vector", F.col("own").alias("cells"))
     dealt = indexed.unionByName(probing).repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block", "probe")
-    links = core.checkpointed(_links(dealt, width, threshold).distinct())
-
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weighed = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("outside"))
-    component = connected_components(links)
-    named = nodes.join(weighed, "node", "left").join(component, "node", "left").select("node", "least", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", F.col("node")).alias("component"))
-    root = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = named.join(root, "component").select("node", "n_links", "component_id")
-    out = rows.filter("node is not null").join(member, "node").select(F.col("id").alias(id_col), F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    links = core.checkpointed(_links(dealt, width, threshold))
+
+    weighed = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("outside"))
+    component = connected_components(links.filter("b is not null"))
+    counted = nodes.join(weighed, "node", "left").join(component, "node", "left").select("node", "least", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", F.col("node")).alias("component"))
+    root = counted.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = counted.join(root, "component").select("node", "n_links", "component_id")
+    out = named.join(member, "node").select(F.col("id").alias(id_col), F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return out.unionByName(alone)
 
 

@@ -198,14 +198,36 @@ def test_embedding_links_and_recall(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006))
     assert got[1007].n_links == got[1008].n_links == 1 and got[1008].component_id == 1007 and not got[1008].kept
     assert got[1009].n_links == 1
-    # components are those of the links found
-    root = {i: i for i in got}
-    for a, b in pairs:
-        if got[a].component_id == got[b].component_id:
-            root[max(a, b)] = min(root[max(a, b)], root[min(a, b)])
     assert all(r.component_id <= i and got[r.component_id].component_id == r.component_id for i, r in got.items())
 
 
+@pytest.mark.parametrize("visited", [True, False])
+def test_embedding_counts_and_components_are_exact(spark, monkeypatch, visited):
+    """With all cells visited links and closure equal brute force, over several blocks a cell; with few, no link counts twice."""
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    chain = [np.cos(0.3 * i) * np.eye(24)[0] + np.sin(0.3 * i) * np.eye(24)[1] for i in range(8)]  # neighbours at 0.955, others below
+    crowd = np.eye(24)[5] + 0.05 * rng.standard_normal((200, 24))
+    rows = _vectors() + [(5000 - i, x.tolist(), 7) for i, x in enumerate(chain)] + [(6000 + i, x.tolist(), 8) for i, x in enumerate([*crowd, *crowd[:5]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    if not visited:
+        assert all(r.n_links <= 204 for r in multi_index.embedding_near_dedup(df, target_recall=0.0).collect())
+        return
+    got = {r.vec_id: r for r in multi_index.embedding_near_dedup(df, target_recall=2.0).collect()}
+    links, pairs = multi_index.brute_force([r[0] for r in rows], [r[2] for r in rows], [r[1] for r in rows])
+    root = {i: i for i in links}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (links[i], top(i), top(i) == i) for i in links}
+
+
 @pytest.mark.parametrize("tight", [0, 300, 1000])
 def test_weak_pairs_are_found_beside_a_tight_group(tight):
     rng = np.random.default_rng(12)
