@@ -157,7 +157,7 @@ def _cells(nodes: DataFrame, index: MultiIndex, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), pa.array(cells.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "cells"])
 
-    return nodes.mapInArrow(assign, "node long, part string, vector array<double>, copies long, cells array<int>")
+    return nodes.mapInArrow(assign, f"node long, part string, vector {dict(nodes.dtypes)['vector']}, copies long, cells array<int>")
 
 
 class _Block:
@@ -257,10 +257,11 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     reaches no id.  Rows with equal vectors are one node with many members; an empty table gives no rows; other columns
     are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # as it is stored: half the bytes to send
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0)
-    vector = F.when(F.coalesce(fine, F.lit(False)), F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 as 0.0
+    vector = F.when(F.coalesce(fine, F.lit(False)), F.transform("vector", lambda x: x + F.lit(0.0)).cast(kind))  # -0.0 as 0.0
     part = F.concat_ws("/", F.size(vector).cast("string"), "label")
     rows = rows.select("id", vector.alias("vector"), part.alias("part"))
     usable = rows.filter("vector is not null")
@@ -286,9 +287,11 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     # cells with many vectors are split into blocks; every probe of the cell meets all of them
     own = celled.withColumn("cell", F.col("cells")[0])
     most = max(64, min(BLOCK, 16_000_000 // index.visits))
-    blocks = own.groupBy("part", "cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
-    indexed = own.join(blocks, ["part", "cell"]).select("part", "cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "node", "copies", "vector", "cells")
-    probing = own.select("part", "node", "copies", "vector", F.array("cell").alias("own"), F.explode("cells").alias("cell")).join(blocks, ["part", "cell"]).select("part", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "node", "copies", "vector", F.col("own").alias("cells"))
+    split = core.checkpointed(own.groupBy("part", "cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    indexed = own.join(split, ["part", "cell"], "left").select("part", "cell", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("probe"), "node", "copies", "vector", "cells")
+    probing = own.select("part", "node", "copies", "vector", F.array("cell").alias("own"), F.explode("cells").alias("cell")).join(split, ["part", "cell"], "left")
+    probing = probing.select("part", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("probe"), "node", "copies", "vector", F.col("own").alias("cells"))
     dealt = indexed.unionByName(probing).repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block", "probe")
     links = core.checkpointed(_links(dealt, width, threshold))
 
