@@ -7,8 +7,12 @@ probabilities under both, taken for a stretch of a nominal length, so that long
 short documents compare: its log is the mean log ratio of the n-grams times that
 length.  Sampling k documents without replacement in proportion to the weights is a
 top-k of log weight plus standard Gumbel noise, drawn from a hash of the id.  By
-default k is the number of documents that the target model explains at least as well
-as the raw one; which documents near that line are drawn is left to the noise.
+default k is the number of documents whose log weight is no lower than a floor; which
+documents near that line are drawn is left to the noise.
+
+Both models leave out the document that is weighed, and ratios are drawn towards 1 by
+a fixed evidence: a text of rare words weighs 1, and labelled documents are no
+likelier than unlabelled ones to be drawn for their own words.
 """
 
 from __future__ import annotations
@@ -28,9 +32,12 @@ ORDERS = (1, 2)
 #: Labelled documents that make the target model: those with the smallest hash of the id.
 MAX_LABELLED = 50_000
 #: n-grams of the raw model mixed into the target model's counts, per bucket.
-PRIOR = 1.0
+#: Occurrences of an n-gram in other documents by which its ratio is drawn towards 1.
+EVIDENCE = 32.0
 #: n-grams of the stretch that a weight stands for, and n-grams without evidence added to every document.
 STRETCH, SHORT = 64, 8
+#: Production value of floor: a mean log ratio of -0.25 an n-gram.
+FLOOR = -16.0
 
 #: Stands for a token that repeats the one before it.
 REPEAT = core.U64(0x5265706561740000)
@@ -71,8 +78,8 @@ def ngrams(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return np.concatenate(docs), np.concatenate(found)
 
 
-def _models(rows: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
-    """Log ratio of the target to the raw probability of each bucket."""
+def _models(rows: DataFrame, good: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket in all rows and in those of the target."""
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -92,10 +99,12 @@ def _models(rows: DataFrame, good: np.ndarray, buckets: int) -> np.ndarray:
     counted = total.toPandas()  # one row per bucket
     at = counted["bucket"].to_numpy(dtype=np.int64)
     raw[at], target[at] = counted["raw"], counted["target"]
-    if not raw.sum() or not target.sum():
-        return np.zeros(buckets)
-    p = (raw + 0.5) / (raw + 0.5).sum()
-    return np.log((target + PRIOR * buckets * p) / (target.sum() + PRIOR * buckets)) - np.log(p)
+    return raw, target
+
+
+def _log_ratio(raw, target, share: float):
+    """Log ratio of the target to the raw probability; what is hardly seen in other documents says nothing (0)."""
+    return np.log((target + EVIDENCE * share) / (share * (raw + EVIDENCE)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, few: int = 20_000) -> float | None:
@@ -135,36 +144,46 @@ def _gumbel(key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", k: int | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", k: int | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS, floor: float = 0.0) -> DataFrame:
     """The documents with their importance weights and whether they are in the sample of k.
 
     Returns the columns of docs with log_weight, n_grams, key (log weight + temperature * Gumbel noise) and kept.  k
-    None: as many as have a log weight of 0 at least.  Texts of any length are read whole.  Null and empty texts have log weight 0; documents with equal keys at
+    None: as many as have a log weight of floor at least.  Texts of any length are read whole.  Null and empty texts have log weight 0; documents with equal keys at
     the edge of the sample are all kept; a null id draws one fixed noise; rows with equal ids draw equal noise; an id
     labelled twice counts as good if any label says so; without labels or documents every log weight is 0.  Columns of
     docs that have one of the added names are replaced.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     good = labels.filter(F.col(good_col) == 1).select(F.col(id_col).cast("long").alias("i")).dropna().distinct().orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-    ratio = _models(rows, np.array([r[0] for r in good.collect()], dtype=np.int64), buckets)
+    ids = np.array([r[0] for r in good.collect()], dtype=np.int64)
+    raw, target = _models(rows, ids, buckets)
+    share = float(target.sum() / raw.sum()) if target.any() else 0.0
     names = [c for c in docs.columns if c not in ("log_weight", "n_grams", "key", "kept")]
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = core.byte_list(batch.column(batch.schema.get_field_index("_body")))
+            own_id = batch.column(batch.schema.get_field_index("_id"))
+            chosen = np.isin(own_id.fill_null(0).to_numpy(zero_copy_only=False), ids) & own_id.is_valid().to_numpy(zero_copy_only=False)
             weight, n = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
             for a, b in core.chunks(texts):
                 doc, bucket = ngrams(texts[a:b], buckets)
                 n.append(np.bincount(doc, minlength=b - a))
-                weight.append(STRETCH * np.bincount(doc, weights=ratio[bucket], minlength=b - a) / (n[-1] + SHORT))
+                if not share:
+                    weight.append(np.zeros(b - a))
+                    continue
+                seen, times = np.unique(doc * buckets + bucket, return_counts=True)  # a document's own n-grams are no evidence for it
+                doc, bucket = seen // buckets, seen % buckets
+                ratio = _log_ratio(raw[bucket] - times, target[bucket] - times * chosen[a:b][doc], share)
+                weight.append(STRETCH * np.bincount(doc, weights=times * ratio, minlength=b - a) / (n[-1] + SHORT))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.concatenate(weight)), pa.array(np.concatenate(n).astype(np.int64))], [*names, "log_weight", "n_grams"])
 
-    base = docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"))
-    schema = base.drop("_body").schema.add("log_weight", "double").add("n_grams", "long")
+    base = docs.select(*names, F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"))
+    schema = base.drop("_body", "_id").schema.add("log_weight", "double").add("n_grams", "long")
     scored = base.mapInArrow(scoring, schema).withColumn("log_weight", F.round("log_weight", 9))
     keyed = scored.withColumn("key", F.round(F.col("log_weight") + temperature * _gumbel(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))), 9))
     slim = core.checkpointed(keyed.select("key", "log_weight"))
-    most = k if k is not None else slim.filter("log_weight >= 0").count()
+    most = k if k is not None else slim.filter(F.col("log_weight") >= floor).count()
     cut = kth_largest(slim, "key", most)
     return keyed.withColumn("kept", F.lit(False) if cut is None else F.col("key") >= F.lit(cut))
 
@@ -186,7 +205,10 @@ def brute_force(texts: dict[int, str | None], good: set[int], buckets: int = BUC
         raw.update(g)
         if d in good:
             target.update(g)
-    total, n, prior = sum(raw.values()) + 0.5 * buckets, sum(target.values()), PRIOR * buckets
-    p = lambda b: (raw[b] + 0.5) / total
-    w = lambda b: math.log((target[b] + prior * p(b)) / (n + prior)) - math.log(p(b))
-    return {d: STRETCH * sum(w(b) for b in g) / (len(g) + SHORT) if n else 0.0 for d, g in grams.items()}
+    share = sum(target.values()) / max(1, sum(raw.values()))
+    out = {}
+    for d, g in grams.items():
+        own = Counter(g)
+        others = lambda x: (raw[x] - own[x], target[x] - (own[x] if d in good else 0))  # noqa: B023, E731
+        out[d] = STRETCH * sum(math.log((t + EVIDENCE * share) / (share * (r + EVIDENCE))) for r, t in map(others, g)) / (len(g) + SHORT) if share else 0.0
+    return out

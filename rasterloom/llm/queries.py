@@ -49,10 +49,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import importance_resample
+    from .quality import FLOOR, importance_resample
 
     core.tune(spark)
-    out = importance_resample(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "labels"))
+    out = importance_resample(core.table(spark, sf_dir, "documents"), core.table(spark, sf_dir, "labels"), floor=FLOOR)
     return out.select("doc_id", "n_grams", "log_weight", "key", "kept")
 
 
