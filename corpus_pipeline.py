@@ -13,7 +13,7 @@ from rasterloom.llm import core
 from rasterloom.llm.decontaminate import benchmark_decontamination
 from rasterloom.llm.jaccard import jaccard_classes
 from rasterloom.llm.mixing import mix_sources
-from rasterloom.llm.quality import importance_resample
+from rasterloom.llm.quality import FLOOR, importance_resample
 from rasterloom.llm.secrets import mask_secrets, secret_scan
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     own text; ties at the edge of the sample stay; no labels: all stay; an empty table stays empty; other columns go.
     """
     core.tune(spark)
-    scored = importance_resample(docs.select(*COLUMNS), core.table(spark, sf_dir, "labels"))
+    scored = importance_resample(docs.select(*COLUMNS), core.table(spark, sf_dir, "labels"), floor=FLOOR)
     return scored.filter("kept").select(*COLUMNS)
 
 
