@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.operators import anomaly, cluster, graph, graph_features, kernels, lookup, points, regions, stencil
-from rasterloom.plans import pipelines
+from rasterloom.plans import pipelines, wing
 from rasterloom.sources import fixtures as fx
 from rasterloom.sources import readers, sinks
 from rasterloom.streaming import incremental
@@ -118,6 +118,20 @@ def test_orientation(spark):
     assert got[0] == pytest.approx(90) and got[1] == pytest.approx(0) and got[2] == pytest.approx(45) and 3 not in got
 
 
+def test_orientation_of_an_axis_along_the_columns_is_90_and_not_minus_90(spark):
+    """Rasters that equal their mirror image have a covariance of 0, in whatever order their pixels are added up."""
+    rng = np.random.default_rng(3)
+    half = [(rng.random((5, 9)) < 0.4).astype(int) for _ in range(60)]
+    mirrored = [np.concatenate((x, x[::-1])) for x in half]
+    mirrored = [x for x in mirrored if (x > 0).sum() > 1]
+    got = {r.image_id: r.angle for r in regions.orientation(rasters(spark, *mirrored)).collect()}
+    assert len(got) == len(mirrored) and set(got.values()) <= {0.0, 90.0}
+    assert got == {k: wing.orientation(x) for k, x in enumerate(mirrored)}
+    wide = np.zeros((2, 70_000), dtype=int)  # sums of products beyond 2^31
+    wide[1, ::7] = 1
+    assert regions.orientation(rasters(spark, wide)).first().angle == wing.orientation(wide) == 90
+
+
 def test_merge_is_greedy_and_not_transitive(spark):
     df = spark.createDataFrame([(0, 30, 30, [(0, 0), (0, 4), (0, 8), (5, 5), (5, 6)]), (1, 30, 30, [])], "image_id int, h int, w int, points array<struct<r:int,c:int>>")
     got = {r.image_id: [tuple(p) for p in r.points] for r in points.merge_close(df, 5.0).collect()}
