@@ -171,16 +171,17 @@ def same_place(a: int, n: int, b: int, m: int) -> bool:
     return 2 * (min(a + n, b + m) - max(a, b)) > min(n, m)
 
 
-RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, first_word: long, share: double>>"
+RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, all_labels string, score double, blocks array<struct<label: string, first_word: long, share: double>>"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """Licence phrases and notices of every document.
 
-    Returns id, body, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, one row per row of docs.
+    Returns id, body, n_words, n_base, first_word, last_word, base_labels, labels, all_labels, score, blocks, one row per row of
+    docs.
     blocks: for each template that a block of the document holds, the block with most of its words (the last of equals),
     where it starts and its share.  labels: those of the phrases and of the templates that fit best where blocks
-    overlap.  score: 1 with a phrase, else the largest share of a block, else 0.  Null and empty texts have no words and no
+    overlap.  all_labels: those of the phrases and of every template that a block holds.  score: 1 with a phrase, else the largest share of a block, else 0.  Null and empty texts have no words and no
     labels; texts of any length are read whole; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
@@ -201,7 +202,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def scanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = core.byte_list(batch.column(1))
-            n_words, n_base, first, last, base, labels, score, blocks = ([] for _ in range(8))
+            n_words, n_base, first, last, base, labels, every, score, blocks = ([] for _ in range(9))
             for a, b in core.chunks(texts):
                 words = words_of(texts[a:b])
                 docs_here = b - a
@@ -231,15 +232,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 last += [x if c else None for x, c in zip(high.tolist(), count.tolist(), strict=True)]
                 base += [",".join(sorted(x)) for x in named]
                 labels += [",".join(sorted(x | clearest(h, notices))) for x, h in zip(named, held, strict=True)]
+                every += [",".join(sorted(x | {notices.labels[t] for t, _, _ in h})) for x, h in zip(named, held, strict=True)]
                 found = [[{"label": notices.labels[t], "first_word": s, "share": shared / int(notices.size[t])} for t, shared, s in h] for h in held]
                 blocks += found
                 score += [1.0 if c else max((x["share"] for x in f), default=0.0) for f, c in zip(found, count.tolist(), strict=True)]
             long, text = pa.int64(), pa.string()
-            kinds = (long, long, long, long, text, text, pa.float64(), pa.list_(pa.struct([("label", text), ("first_word", long), ("share", pa.float64())])))
-            columns = (n_words, n_base, first, last, base, labels, score, blocks)
+            kinds = (long, long, long, long, text, text, text, pa.float64(), pa.list_(pa.struct([("label", text), ("first_word", long), ("share", pa.float64())])))
+            columns = (n_words, n_base, first, last, base, labels, every, score, blocks)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True))],
-                [*batch.schema.names, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
+                [*batch.schema.names, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "all_labels", "score", "blocks"],
             )
 
     kind = rows.schema["_id"].dataType.simpleString()

@@ -38,7 +38,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
     core.tune(spark)
-    return license_scan(core.table(spark, sf_dir, "documents")).drop("body", "blocks")
+    out = license_scan(core.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.col("all_labels").alias("labels"), "score", F.col("labels").alias("clearest_labels"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.llm import core, decontaminate, jaccard, licenses, mixing, substring_dedup, suffix_dedup
+from rasterloom.llm import core, decontaminate, jaccard, licenses, mixing, queries, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, body string"
 
@@ -204,6 +204,22 @@ def test_license_threshold_is_a_containment(spark):
         assert _licenses(df, threshold=threshold) == {i: licenses.brute_force(t, threshold=threshold) for i, t in texts.items()}
 
 
+def test_license_query_names_every_notice_at_the_threshold(spark, tmp_path):
+    """Notices that differ in a word or two stand on one another's blocks: each that holds is a pair of the join."""
+    templates = dict(licenses.TEMPLATES)
+    texts = {i: t for i, t in enumerate(templates.values())}
+    texts |= {100: "a " + templates["cc-by-nc-4.0"] + " mit license", 101: "nothing of the kind", 102: None}
+    spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_license_scan(spark, str(tmp_path)).collect()}
+    left_out = 0
+    for i, t in texts.items():
+        *_, base, clearest, _, blocks = licenses.brute_force(t)
+        every = {b[0] for b in blocks} | set(filter(None, base.split(",")))
+        assert got[i].labels == ",".join(sorted(every)) and got[i].clearest_labels == clearest and got[i].base_labels == base
+        left_out += got[i].labels != clearest
+    assert left_out and got[100].labels == "cc-by-4.0,cc-by-nc-4.0,cc-by-sa-4.0,mit" and got[101].labels == got[102].labels == ""
+
+
 def _near_texts():
     rng = random.Random(11)
     words = [f"v{i}" for i in range(300)]
