@@ -88,6 +88,9 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words.hash, words.first
 
 
+#: Bytes of documents whose windows are hashed at once: the arrays of 8 bytes a symbol stay in the cache.
+PIECE_CHUNK = 1 << 18
+
 PIECES = "h long, ch long, did long, tie int, loc long, own boolean"
 
 
@@ -98,7 +101,7 @@ def pieces(docs: DataFrame, symbols: Callable, length: int, k: int) -> DataFrame
         for batch in batches:
             dids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = core.byte_list(batch.column(2))
-            for a, b in core.chunks(texts):
+            for a, b in core.chunks(texts, PIECE_CHUNK):
                 key, content, d, lo, hi, own = piece_runs(*symbols(texts[a:b]), length, k)
                 if len(key):
                     yield pa.RecordBatch.from_arrays([core.as_long(key), core.as_long(content), pa.array(dids[a:b][d]), pa.array(ties[a:b][d]), pa.array((lo << SHIFT) | (hi - lo + 1)), pa.array(own)], ["h", "ch", "did", "tie", "loc", "own"])

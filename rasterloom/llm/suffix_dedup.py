@@ -30,61 +30,72 @@ from . import core, repeats
 #: Bytes of pieces whose shards are merged together.
 BUCKET_BYTES = 1 << 20
 SHARDS = 4
+#: Symbols that suffixes are first sorted by.
+WORD = 5
 
 
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, transform) of a text of sentinel-ended strings (0 ends a string), by rank doubling from 8-byte words.
+    """(suffix array, transform) of a text of sentinel-ended strings (0 ends a string), by rank doubling from 5-byte words.
 
-    Sentinels compare by their position, so every suffix is distinct and sorting stops at the end of a string.
+    Sentinels compare by their position, so every suffix is distinct and sorting stops at the end of a string.  The rank of a
+    suffix is the place where its group starts, so a round moves only what is still tied.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
+    bits = max(1, n.bit_length())
+    padded = np.concatenate((text, np.zeros(WORD, dtype=np.uint8)))
     word, ended = np.zeros(n, dtype=core.U64), np.zeros(n, dtype=bool)
-    for i in range(8):  # nothing after a sentinel counts
+    for i in range(WORD):  # nothing after a sentinel counts
         word <<= core.U64(8)
         symbol = padded[i : i + n]
         word |= np.where(ended, np.uint8(0), symbol)
         ended |= symbol == 0
-    order = np.argsort(word, kind="stable")  # ended suffixes with equal words: by their sentinels
-    w = word[order]
+    w, order = sorted_by(word, 8 * WORD, n)  # ended suffixes with equal words: by their sentinels
     new = ended[order]
     new[:1] = True
     new[1:] |= w[1:] != w[:-1]
+    position = np.arange(n)
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(new) - 1
-    h = 8
-    while True:
-        groups = int(rank.max()) + 1 if n else 0
-        if groups >= n:
-            break
-        sizes = np.bincount(rank, minlength=groups)
-        tied = np.flatnonzero(sizes[rank] > 1)
-        after = rank[np.minimum(tied + h, n - 1)]
-        key = rank[tied] * np.int64(n + 1) + after
-        by = np.argsort(key)
-        tied, key = tied[by], key[by]
+    rank[order] = np.maximum.accumulate(np.where(new, position, 0))
+    tied = order[~alone(new)]
+    h = WORD
+    while len(tied):
+        key = (rank[tied].astype(core.U64) << core.U64(bits)) | rank[np.minimum(tied + h, n - 1)].astype(core.U64)
+        key, by = sorted_by(key, 2 * bits, len(tied))
+        tied = tied[by]
+        old = (key >> core.U64(bits)).astype(np.int64)
         # new rank: start of the old group plus the number of smaller keys in it
-        starts = np.cumsum(sizes) - sizes
-        old = rank[tied]
         fresh = np.ones(len(tied), dtype=bool)
         fresh[1:] = key[1:] != key[:-1]
         head = np.ones(len(tied), dtype=bool)
         head[1:] = old[1:] != old[:-1]
-        position = np.arange(len(tied))
-        base = np.maximum.accumulate(np.where(head, position, 0))
-        lead = np.maximum.accumulate(np.where(fresh, position, 0))
-        spread = starts[rank]
-        spread[tied] = starts[old] + (lead - base)
-        # dense ranks again
-        used = np.zeros(n, dtype=bool)
-        used[spread] = True
-        rank = (np.cumsum(used) - 1)[spread]
+        place = position[: len(tied)]
+        base = np.maximum.accumulate(np.where(head, place, 0))
+        lead = np.maximum.accumulate(np.where(fresh, place, 0))
+        rank[tied] = old + (lead - base)
+        tied = tied[~alone(fresh)]
         h *= 2
     sa = np.empty(n, dtype=np.int64)
-    sa[rank] = np.arange(n)
+    sa[rank] = position
     return sa, text[sa - 1]
 
 
+def sorted_by(key: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, stable order) of n keys of so many bits; key and place are sorted as one number where 64 bits hold both."""
+    low = max(1, n.bit_length())
+    if bits + low > 64:
+        by = np.argsort(key, kind="stable")
+        return key[by], by
+    both = np.sort((key << core.U64(low)) | np.arange(n, dtype=core.U64))
+    return both >> core.U64(low), (both & core.U64((1 << low) - 1)).astype(np.int64)
+
+
+def alone(new: np.ndarray) -> np.ndarray:
+    """Which places are a group of their own; new: where groups start."""
+    out = new.copy()
+    out[:-1] &= new[1:]
+    return out
+
+
 def lf_mapping(transform: np.ndarray) -> np.ndarray:
     """LF of each row: the row of the suffix that is one symbol longer.
 

@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.llm import core, decontaminate, jaccard, licenses, mixing, queries, substring_dedup, suffix_dedup
+from rasterloom.llm import core, decontaminate, jaccard, licenses, mixing, queries, repeats, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, body string"
 
@@ -204,6 +205,42 @@ def test_license_threshold_is_a_containment(spark):
         assert _licenses(df, threshold=threshold) == {i: licenses.brute_force(t, threshold=threshold) for i, t in texts.items()}
 
 
+def test_shard_transform_sorts_every_suffix_and_moves_only_what_is_tied(monkeypatch):
+    """Against sorted slices; strings that repeat and strings that do not, beside one another."""
+    rng = random.Random(4)
+    passage = bytes(rng.randrange(1, 250) for _ in range(200))
+    for parts in ([b""], [b"a"], [b"ab"] * 5, [bytes(rng.choice(b"abc") for _ in range(rng.randrange(40))) for _ in range(60)], [passage] * 3 + [bytes(rng.randrange(1, 250) for _ in range(6000))]):
+        text = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+        ends = np.flatnonzero(text == 0)
+        # a sentinel is smaller than any symbol and counts by its position
+        suffix = [(*(int(x) + len(text) for x in text[i:e]), int(e)) for i, e in ((i, ends[np.searchsorted(ends, i)]) for i in range(len(text)))]
+        moved = []
+        monkeypatch.setattr(suffix_dedup, "sorted_by", lambda key, bits, n, f=suffix_dedup.sorted_by: moved.append(n) or f(key, bits, n))
+        sa, transform = suffix_dedup.shard_transform(text)
+        monkeypatch.undo()
+        assert sa.tolist() == sorted(range(len(text)), key=suffix.__getitem__)
+        assert (transform == text[sa - 1]).all()
+    assert max(moved[1:]) < 700 < moved[0]  # the passages alone
+    key = np.array([rng.randrange(1 << 60) for _ in range(500)], dtype=np.uint64) >> np.uint64(56)
+    for bits in (8, 60):  # place and key in one number, and apart
+        got, by = suffix_dedup.sorted_by(key, bits, len(key))
+        assert (by == np.argsort(key, kind="stable")).all() and (got == key[by]).all()
+
+
+def test_windows_are_hashed_in_small_chunks(spark, monkeypatch):
+    """Arrays of eight bytes a symbol and more stay small, however many documents a batch holds."""
+    seen = []
+    symbols = lambda texts: seen.append(sum(map(len, texts))) or repeats.byte_symbols(texts)
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(500)) for _ in range(120)]
+    rows = repeats.prepared(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA), "doc_id", "text")
+    scans = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, schema: scans.append(f) or df)
+    repeats.pieces(rows, symbols, 100, 32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120), type=pa.int64()), pa.array([0] * 120, type=pa.int32()), pa.array(texts)], ["did", "tie", "body"])
+    assert sum(x.num_rows for x in scans[0](iter([batch]))) and sum(seen) == sum(map(len, texts)) > 1 << 20 and max(seen) <= 1 << 18
+
+
 def test_license_query_names_every_notice_at_the_threshold(spark, tmp_path):
     """Notices that differ in a word or two stand on one another's blocks: each that holds is a pair of the join."""
     templates = dict(licenses.TEMPLATES)
