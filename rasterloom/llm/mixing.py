@@ -79,9 +79,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size 0; documents of size 0 give 0 words; a null source is a source of its own, the last; null ids come first in the
     shuffle; rows with equal ids are ordered by size; packets that finish together are ordered by source; texts of any
     length are counted whole; an empty table gives no rows; columns of docs that clash with the added names are read only
-    where they are named in keep.
+    where they are named in keep.  Columns named in keep take no part in the mix: docs is read a second time for them.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    tags = _tags(id_col, source_col, text_col, *keep) if keep else ()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *tags)
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))).withColumn("_bucket", F.substring("_order", 1, 3))
     rows = core.checkpointed(rows)
     targets = core.checkpointed(source_targets(rows.select("source", "size"), weights, share, cap))
@@ -90,7 +91,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = buckets.withColumn("_ahead", ahead).drop("_sum")
     plan = buckets.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("_source"), F.col("b._bucket").alias("_b"), "_ahead", "source_size", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_order", F.col("_id").asc_nulls_first(), "size", *TAGS[: len(tags)]).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     placed = core.checkpointed(placed.withColumn("start", F.col("_ahead") + F.col("_before")).drop("_ahead", "_before", "_bucket", "_b", "_source", "_order"))
@@ -101,7 +102,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = lambda n: F.greatest(F.lit(0), F.least(F.col("size"), F.col("_sent") - F.col("start") - n * F.col("source_size")))
     taken = sum((one(n) for n in range(1, _passes(cap))), one(0))
     finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    return joined.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", finish.alias("finish"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    mixed = joined.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", finish.alias("finish"), *TAGS[: len(tags)])
+    return _with_kept(mixed, docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *tags), keep) if keep else mixed
+
+
+#: 128 bits of hash that lead from a row of the mix to the row of docs it stands for.
+TAGS = ("_tag0", "_tag1")
+
+
+def _tags(*columns: str) -> list[Column]:
+    """Equal for rows that are equal in the columns; a null is not the value beside it."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *parts).alias(name) for i, name in enumerate(TAGS)]
+
+
+def _with_kept(mixed: DataFrame, kept: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """mixed with the columns kept of its rows: of several equal rows of docs, each gets one of their places in the mix."""
+    names = [c for c in mixed.columns if c not in TAGS]
+    places = mixed.groupBy(*TAGS).agg(F.array_sort(F.collect_list(F.struct("start", *[c for c in names if c != "start"]))).alias("_places"))
+    copy = F.row_number().over(Window.partitionBy(*TAGS).orderBy(TAGS[0]))
+    one = kept.join(places, list(TAGS)).withColumn("_place", F.element_at("_places", copy))
+    return one.select(*[F.col("_place")[c].alias(c) for c in names], *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def _passes(cap: float) -> int:

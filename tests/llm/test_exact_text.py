@@ -429,6 +429,24 @@ def test_mixing_reshares_what_small_sources_cannot_take(spark):
     assert targets["c"] == pytest.approx(min(800, 2 * targets["b"]))
 
 
+def test_kept_columns_take_no_part_in_the_mix(spark, monkeypatch):
+    """Written tables hold no texts; equal rows each have a place of their own; a null is not the value beside it."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 300))) + f" {i}", f"s{i % 3}", "en") for i in range(60)]
+    rows += [rows[7]] * 4 + [(None, "a b", None, "de"), (None, "a b", None, None), (None, None, "s1", "x"), (61, None, None, None), (61, "", None, None), (61, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    written = []
+    monkeypatch.setattr(mixing.core, "checkpointed", lambda d, f=core.checkpointed: written.append(d.columns) or f(d))
+    got = mixing.mix_sources(df, keep=("text", "lang")).collect()
+    assert written and not any("text" in c or "lang" in c for columns in written for c in columns)
+    order = lambda x: sorted(x, key=repr)
+    assert order((r.doc_id, r.text, r.source, r.lang) for r in got) == order(rows)
+    assert all(r.size == len((r.text or "").split()) for r in got)
+    plain = mixing.mix_sources(df).collect()
+    assert order((r.doc_id, r.size, r.source, r.target, r.taken, r.start, r.finish) for r in got) == order((r.doc_id, r.size, r.source, r.target, r.taken, r.start, r.finish) for r in plain)
+    assert len({r.start for r in got if r.doc_id == 7}) == 5
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix_sources(spark.createDataFrame([], schema)).count() == 0
