@@ -38,6 +38,8 @@ from .components import connected_components
 
 RATIO = 1.35
 PAIR_COST = 6.0
+#: Coverage a set may give up; long sets have tens of empty segments.
+SLACKS = (*range(13), 14, 16, 18, 20, 23, 26, 30, 34, 39, 45, 52, 60, 70, 82, 96, 112, 130, 160, 200)
 
 
 class Plan:
@@ -76,15 +78,20 @@ class Plan:
 
     def allocate(self, h: int, size: int, n: int) -> tuple[int, int, int]:
         best = None
-        for x in range(0, 13):
+        for x in SLACKS:
             units = h + 1 + x
             for d in sorted({0, 1, units // 4, units // 2, -(-units // 2)}):
                 a = max(0, units - 2 * d)
                 t1, t2 = size / (a + 2 * d), 2 * size / (a + 2 * d)
                 lost = a * math.exp(-t1) + 2 * d * (1 + t2) * math.exp(-t2)
-                tail = max(0.0, 1 - sum(math.exp(-lost) * lost**k / math.factorial(k) for k in range(x + 1)))
+                # empty signatures of a set: what it loses, where that is over x (lost: a Poisson mean)
+                term, below = math.exp(-lost), 0.0
+                for k in range(x):
+                    below += term
+                    term *= lost / (k + 1)
+                empties = lost * max(0.0, 1 - below)
                 rows = n * (a + d * (2 + t2))
-                cost = rows + PAIR_COST * (n * tail * (x + 1)) ** 2 / (2 * (a + d))
+                cost = rows + PAIR_COST * (n * empties) ** 2 / (2 * (a + d))
                 if best is None or cost < best[0]:
                     best = cost, a, d, x
         return best[1:]

@@ -429,6 +429,29 @@ def test_mixing_reshares_what_small_sources_cannot_take(spark):
     assert targets["c"] == pytest.approx(min(800, 2 * targets["b"]))
 
 
+def test_sets_without_anything_in_common_share_few_signatures():
+    """Empty segments of long sets are no hot signatures, and sets that link still share one."""
+    rng = np.random.default_rng(6)
+    n, num, den = 600, 4, 5
+    sizes = rng.integers(334, 560, n)
+    plan = jaccard.Plan({int(x): 60 for x in range(334, 560)}, num, den)
+    base = [np.sort(rng.integers(0, 1 << 63, x).astype(np.uint64) * np.uint64(2)) for x in sizes]
+    near = []  # a tenth of the elements replaced: Jaccard 0.818 or a little more
+    for x in base[:60]:
+        y = x.copy()
+        y[rng.choice(len(y), len(y) // 10, replace=False)] = rng.integers(0, 1 << 63, len(y) // 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        near.append(np.sort(y))
+    every = base + near
+    doc, value = np.repeat(np.arange(len(every)), [len(x) for x in every]), np.concatenate(every)
+    d, sig = jaccard.signatures(plan, doc, value, np.array([len(x) for x in every]))
+    of = [set(sig[d == i].tolist()) for i in range(len(every))]
+    for i, x in enumerate(near):
+        shared = len(np.intersect1d(base[i], x))
+        assert den * shared >= num * (len(base[i]) + len(x) - shared) and of[i] & of[n + i]
+    rows = np.unique(np.stack((sig[d < n].view(np.int64), d[d < n])), axis=1)
+    assert np.unique(rows[0], return_counts=True)[1].max() < 5 and len(d) < 250 * (n + 60)
+
+
 def test_kept_columns_take_no_part_in_the_mix(spark, monkeypatch):
     """Written tables hold no texts; equal rows each have a place of their own; a null is not the value beside it."""
     rng = random.Random(8)
