@@ -15,12 +15,14 @@ all, so the pigeonhole still holds for every pair.  A, D and X are chosen for ea
 band by cost: expected signatures, from the sizes of all documents, plus expected
 candidates from empty signatures.
 
-Buckets of a signature are never expanded into all pairs.  Every member has a
-head, the smallest member of all its buckets, and members of a head form canopies of
-bounded size.  The canopies of a bucket meet, each pair of canopies
-once, and bit sketches that can only underestimate a difference drop what cannot
-link.  What is left is verified on the whole sets: first the nearest partners of each
-member, then, links contracted, all pairs left in buckets of several components.
+Buckets of a signature are never expanded into all pairs.  First every member meets
+the head of its bucket, the smallest member, which is a row for each row of the buckets
+at most.  Links found are contracted, and what is left of the buckets without their heads
+is compared in the task that has the bucket, across components only (a large bucket in
+blocks, each pair of blocks once): first every set in its home, the largest of its
+buckets, for its nearest partner, then, links contracted again, for all; at last members
+of different homes in all buckets that still hold several components.  Before whole sets
+are compared, bit sketches that can only underestimate a difference drop what cannot link.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import core, repeats
@@ -281,22 +283,23 @@ def _folded(sketch: np.ndarray, n: int) -> np.ndarray:
 def _near_pairs(one: list, two: list | None, num: int, den: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of different components whose sketches allow a link; nearest: only the nearest of each member.
 
-    one, two: node, component, size, sketch of two blocks (two None: of one block with itself).
+    one, two: node, component, home, size, sketch of two blocks (two None: of one block with itself); members of one home are
+    no pair, homes may be None.
     """
     found_a, found_b, found_d = [], [], []
     same = two is None
     two = one if same else two
 
     def by_bins(block: list) -> dict[int, tuple[np.ndarray, ...]]:
-        node, component, size, sketch = block
+        node, component, home, size, sketch = block
         of: dict[int, list[int]] = {}
         for i, s in enumerate(sketch):
             of.setdefault(len(s), []).append(i)
-        return {n: (np.array(node)[i], np.array(component)[i], np.array(size)[i], np.frombuffer(b"".join(sketch[j] for j in i), dtype=core.U64).reshape(len(i), n // 8)) for n, i in of.items()}
+        return {n: (np.array(node)[i], np.array(component)[i], None if home[0] is None else np.array(home)[i], np.array(size)[i], np.frombuffer(b"".join(sketch[j] for j in i), dtype=core.U64).reshape(len(i), n // 8)) for n, i in of.items()}
 
     left, right = by_bins(one), by_bins(two)
-    for n1, (na, ca, sa, ka) in left.items():
-        for n2, (nb, cb, sb, kb) in right.items():
+    for n1, (na, ca, ha, sa, ka) in left.items():
+        for n2, (nb, cb, hb, sb, kb) in right.items():
             if (n1 > n2 and same) or max(n1, n2) > 2 * min(n1, n2):
                 continue
             bins = min(n1, n2) // 8
@@ -305,6 +308,8 @@ def _near_pairs(one: list, two: list | None, num: int, den: int, nearest: bool)
                 total = sa[i] + sb
                 most = total - 2 * -(-num * total // (num + den))
                 ok = (ca[i] != cb) & (den * np.minimum(sa[i], sb) >= num * np.maximum(sa[i], sb))
+                if ha is not None:
+                    ok &= ha[i] != hb
                 if same and n1 == n2:
                     ok[: i + 1] = False
                 some = np.flatnonzero(ok)
@@ -403,81 +408,113 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the classes that share a signature with another: sketches first, texts only of what the sketches leave
     shared = core.checkpointed(buckets.select("node").distinct())
     held = _chosen(rows, shared, n, sketched=True)
-    canopies = _canopies(buckets)
-    links = done = component = None
-    for nearest in (True, False):
-        pairs = _across(buckets, canopies, component, held, num, den, nearest)
-        pairs = core.checkpointed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
+    groups = core.checkpointed(_groups(buckets))
+    done = component = None
+    for kind in ("heads", "nearest", "home", "rest"):
+        if kind == "heads":
+            pairs = _alike(buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), held, num, den)
+        else:
+            if kind == "nearest":
+                groups = core.checkpointed(_homes(groups))
+            left = core.checkpointed(_unsettled(groups, component, kind != "rest"))
+            if left.isEmpty():
+                continue
+            pairs = _across(left, held, num, den, kind == "nearest").join(done, ["a", "b"], "left_anti")
+        pairs = core.checkpointed(pairs)
         ends = core.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        fresh = core.checkpointed(_linked(pairs, _chosen(rows, ends, n, sketched=False), n, num, den))
-        links = fresh if links is None else links.unionByName(fresh)
-        done = pairs
-        component = connected_components(links)
-    named = classes.withColumn("component", F.col("node")) if component is None else classes.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+        if component is not None and ends.isEmpty():
+            continue  # the nearest may all have been compared before
+        fresh = _linked(pairs, _chosen(rows, ends, n, sketched=False), n, num, den)
+        done = pairs if done is None else done.unionByName(pairs)
+        # what was contracted before is a star of each component
+        component = connected_components(fresh if component is None else fresh.unionByName(component.select(F.col("component").alias("a"), F.col("node").alias("b"))), alone=ALONE)
+    named = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     smallest = named.groupBy("component").agg(F.min("did").alias("root"))
     rooted = named.join(smallest, "component").select("node", "root")
     out = sets.join(rooted, "node", "left")
     return out.select(F.when(F.col("did") != repeats.NO_ID, F.col("did")).alias("doc_id"), F.col("size").alias("n_shingles"), F.nullif(F.coalesce("root", F.col("did")), F.lit(repeats.NO_ID)).alias("component_id"))
 
 
-#: Members of a block that is compared with another in one go.
-CANOPY = 4096
+#: Members of a block of a group that is compared with another in one go.
+BLOCK = 4096
+#: Edges that one task turns into components.
+ALONE = 200_000
+
+
+def _alike(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (batch.column(i).to_numpy() for i in (2, 3))
+            total = sa + sb
+            most = total - 2 * -(-num * total // (num + den))
+            ok = den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)
+            for i in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), dtype=core.U64)[None] for c in (4, 5))
+                m = min(x.shape[1], y.shape[1])
+                ok[i] = np.bitwise_count(_folded(x, m) ^ _folded(y, m)).sum(dtype=np.int64) <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one, two = (held.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"k{x}")) for x in ("a", "b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(keep, "a long, b long")
+
+
+def _groups(buckets: DataFrame) -> DataFrame:
+    """grp, node: the members of each bucket but its head, which meets them all; buckets of the same members are one group.
+
+    A group is named by a hash of its members.  Groups that this hash took together would only be compared with each other.
+    """
+    same = Window.partitionBy("sig")
+    rest = buckets.filter("node <> head").select("node", F.count("*").over(same).alias("many"), F.expr("bit_xor(xxhash64(node))").over(same).alias("all"))
+    return rest.filter("many > 1").select(F.xxhash64("all", "many").alias("grp"), "node").distinct()
+
+
+def _homes(groups: DataFrame) -> DataFrame:
+    """grp, node, home: the largest of the node's groups."""
+    sized = groups.withColumn("many", F.count("*").over(Window.partitionBy("grp")))
+    return sized.withColumn("home", F.first("grp").over(Window.partitionBy("node").orderBy(F.desc("many"), "grp"))).select("grp", "node", "home")
 
 
-def _canopies(buckets: DataFrame) -> DataFrame:
-    """node, canopy, parts: the members that buckets connect, in blocks of about CANOPY at most, and how many blocks they make.
+def _unsettled(groups: DataFrame, component: DataFrame, at_home: bool) -> DataFrame:
+    """grp, node, component, home, and the number of rows of each group that holds several components.
 
-    Larger groups are dealt by the smallest member that a node's smallest head leads to, so that what shares buckets mostly
-    shares a block; a head with more than a block of members is split.
+    at_home: of members in their homes only.  Otherwise the groups that hold several homes too: members of one home have met there.
     """
-    tied = connected_components(buckets.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    sizes = tied.groupBy("component").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("parts"))
-    heads = core.checkpointed(buckets.groupBy("node").agg(F.min("head").alias("head")))
-    led = heads.join(heads.select(F.col("node").alias("head"), F.col("head").alias("lead")), "head").select("node", "lead")
-    crowd = led.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(CANOPY)).cast("long").alias("crowd"))
-    placed = tied.join(sizes, "component").join(led, "node").join(crowd, "lead")
-    own = F.when(F.col("parts") > 1, F.xxhash64("component", F.pmod(F.xxhash64("lead"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("crowd")))).otherwise(F.col("component"))
-    return core.checkpointed(placed.select("node", own.alias("canopy"), "parts"))
+    named = (groups.filter("grp = home") if at_home else groups).join(component, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("component"), "home")
+    columns = ["component"] if at_home else ["component", "home"]
+    same = Window.partitionBy("grp")
+    spread = named.select("*", *(f(c).over(same).alias(f"{c}{i}") for c in columns for i, f in enumerate((F.min, F.max))), F.count("*").over(same).alias("many"))
+    return spread.filter(" and ".join(f"{c}0 <> {c}1" for c in columns)).select("grp", "node", "component", F.when(F.lit(not at_home), F.col("home")).alias("home"), "many")
 
 
-def _across(buckets: DataFrame, canopies: DataFrame, component: DataFrame | None, held: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Distinct pairs a < b of different components that share a bucket's canopies and whose sketches allow a link.
+def _across(groups: DataFrame, held: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Distinct pairs a < b of different components, and of different homes where they are given, that share a group and whose sketches allow a link.
 
-    Two members of a bucket are compared once, where their canopies meet, whatever the number of buckets they share; a
-    member goes to another canopy only where that one shares a bucket with it.
+    A group of more than a block of members is dealt into blocks, and each pair of blocks meets in a task of its own.
     """
-    if component is None:
-        named = canopies.withColumn("component", F.col("node"))
-    else:
-        named = core.checkpointed(canopies.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node"))))
-    mixed = named.groupBy("canopy").agg(F.min("component").alias("k0"), F.max("component").alias("k1")).filter("k0 <> k1").select("canopy")
-    inside = named.join(mixed, "canopy", "left_semi").select(F.col("canopy").alias("c1"), F.col("canopy").alias("c2"), F.lit(0).alias("side"), "node", "component")
-    # canopies meet where they share a bucket of several components
-    rest = core.checkpointed(buckets.select("sig", "node").join(named.drop("parts"), "node"))
-    several = rest.groupBy("sig").agg(F.min("component").alias("k0"), F.max("component").alias("k1"), F.min("canopy").alias("c0"), F.max("canopy").alias("c1")).filter("k0 <> k1 and c0 <> c1").select("sig")
-    rest = core.checkpointed(rest.join(several, "sig", "left_semi"))
-    other = rest.select("sig", F.col("canopy").alias("other")).distinct()
-    c1, c2 = F.least("canopy", "other").alias("c1"), F.greatest("canopy", "other").alias("c2")
-    met = rest.join(other, "sig").filter("canopy <> other").select(c1, c2, (F.col("canopy") > F.col("other")).cast("int").alias("side"), "node", "component").distinct()
-    dealt = inside.unionByName(met).join(held.select("node", "size", "sketch"), "node").select("c1", "c2", "side", "node", "component", "size", "sketch")
+    blocks = F.ceil(F.col("many") / F.lit(BLOCK)).cast("long")
+    placed = groups.withColumn("block", F.when(F.col("many") > BLOCK, F.pmod(F.xxhash64("node"), blocks)).otherwise(F.lit(0)))
+    whole = placed.filter(F.col("many") <= BLOCK).withColumn("other", F.lit(0).cast("long"))
+    parts = placed.filter(F.col("many") > BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = whole.unionByName(parts).select("grp", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "home")
+    dealt = met.join(held.select("node", "size", "sketch"), "node").select("grp", "c1", "c2", "side", "node", "component", "home", "size", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, [[[], [], [], []], [[], [], [], []]]
+        key, sides = None, [[[], [], [], [], []], [[], [], [], [], []]]
         out: list = [[], []]
 
         def close() -> None:
             if key is not None:
-                a, b = _near_pairs(sides[0], None if key[0] == key[1] else sides[1], num, den, nearest)
+                a, b = _near_pairs(sides[0], None if key[1] == key[2] else sides[1], num, den, nearest)
                 out[0].append(a)
                 out[1].append(b)
 
         for batch in batches:
-            for c1, c2, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (c1, c2) != key:
+            for grp, c1, c2, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, c1, c2) != key:
                     close()
-                    key, sides = (c1, c2), [[[], [], [], []], [[], [], [], []]]
+                    key, sides = (grp, c1, c2), [[[], [], [], [], []], [[], [], [], [], []]]
                 for column, value in zip(sides[side], row, strict=True):
                     column.append(value)
             if out[0]:
@@ -487,7 +524,7 @@ def _across(buckets: DataFrame, canopies: DataFrame, component: DataFrame | None
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])
 
-    dealt = dealt.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "side")
+    dealt = dealt.repartition("grp", "c1", "c2").sortWithinPartitions("grp", "c1", "c2", "side")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 

@@ -283,6 +283,44 @@ def test_jaccard_classes_match_all_pairs(spark, documents, corpus):
     assert got == jaccard.brute_force(corpus)
 
 
+def _mostly_shared(n):
+    """Texts that share three quarters of their words in one run, and so signatures, but link only with every tenth one's near copy."""
+    rng = random.Random(29)
+    words = lambda k: [f"q{rng.randrange(10**9)}" for _ in range(k)]
+    most, texts = words(120), {}
+    for i in range(n):
+        own = words(40)
+        texts[len(texts)] = most + own
+        if i % 10 == 0:
+            texts[len(texts)] = most + own[:-2] + words(2)
+    return {i: " ".join(w) for i, w in texts.items()}
+
+
+def test_jaccard_joins_do_not_multiply_buckets(spark, monkeypatch):
+    """No join makes more rows than the buckets have, also where a large group of sets shares many signatures without linking."""
+    texts = _mostly_shared(100)
+    df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA).repartition(4)
+    rows, made = [], []
+    monkeypatch.setattr(jaccard, "CANOPY", 16, raising=False)
+    monkeypatch.setattr(core, "discard", lambda df: None)
+    monkeypatch.setattr(jaccard, "_buckets", lambda found, f=jaccard._buckets: rows.append(out := core.checkpointed(f(found))) or out)
+    monkeypatch.setattr(type(df), "join", lambda self, *a, f=type(df).join, **b: made.append(out := f(self, *a, **b)) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect()}
+    assert got == jaccard.brute_force(texts) and len({root for _, root in got.values()}) == 100
+    buckets = rows[0].count()
+    assert buckets > 4 * len(texts) and max(x.count() for x in made) <= buckets
+
+
+@pytest.mark.parametrize("block, alone", [(7, 0), (4096, 1 << 20)])
+def test_jaccard_classes_in_blocks_and_rounds(spark, monkeypatch, block, alone):
+    """Groups dealt into blocks, and components by rounds or in one task, give the same classes."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ALONE", alone)
+    texts = _mostly_shared(40) | {1000 + i: t for i, t in _near_texts().items()}
+    df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA).repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect()} == jaccard.brute_force(texts)
+
+
 def test_jaccard_other_thresholds(spark):
     texts = _near_texts()
     df = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA)
